@@ -55,11 +55,6 @@ def capped(df: DataFrame, order: list[Column], cap: int | None, band: Column | N
     return df.withColumn("_band", band).withColumn("_rank", rank).filter(F.col("_rank") <= cap).drop("_band", "_rank")
 
 
-def with_total(df: DataFrame, whole: DataFrame) -> DataFrame:
-    """Attach how many rows matched before the cap, as a scalar subquery (no one-partition window)."""
-    return df.withColumn("total_matches", whole.agg(F.count(F.lit(1))).scalar())
-
-
 def numbered(df: DataFrame, digest: str, start: Column, out: str) -> DataFrame:
     """Consecutive numbers ``start+1, start+2, ...`` in the order of a hexadecimal digest column.
 

@@ -6,13 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyguard import schemas
 from tallyguard.functions.columns import layer_text, percent, shown, snapshot_json
-from tallyguard.operators.windows import capped, with_total
 from tallyguard.plans import po_rules as po
 from tallyguard.plans import transfer_rules as xfer
 from tallyguard.plans import value_rules as value
@@ -35,11 +34,11 @@ def cols(*names: str) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Check:
-    """How one rule's offenders are found, ordered for the cap, and described."""
+    """How one rule's offenders are found, ranked for the cap (lowest first), and described."""
 
     find: Finder
     source: str
-    order: Callable[[], list[Column]]
+    rank: Callable[[], Column]
     always: Callable[[Run], dict[str, Column]]
     optional: Callable[[Run], dict[str, Column]] = lambda run: {}
     band: Callable[[Run], Column] | None = None
@@ -51,12 +50,20 @@ def _plain(rule: Callable[[Inputs, Run], DataFrame]) -> Finder:
     return lambda inputs, run, config: rule(inputs, run)
 
 
-def _newest(name: str) -> Callable[[], list[Column]]:
-    return lambda: [c(name).desc_nulls_last(), c("entity_key").asc()]
+def _moment(name: str) -> Column:
+    return F.unix_micros(c(name).cast("timestamp")).cast("double")
 
 
-def _oldest(name: str) -> Callable[[], list[Column]]:
-    return lambda: [c(name).asc_nulls_first(), c("entity_key").asc()]
+def _newest(name: str) -> Callable[[], Column]:
+    return lambda: -_moment(name)
+
+
+def _oldest(name: str) -> Callable[[], Column]:
+    return lambda: _moment(name)
+
+
+def _largest(name: str) -> Callable[[], Column]:
+    return lambda: -c(name).cast("double")
 
 
 def _over_receipt_snapshot(run: Run) -> dict[str, Column]:
@@ -113,10 +120,6 @@ def _facility_day_extra(what: str) -> Callable[[Run], dict[str, Column]]:
     return extra
 
 
-def _facility_day_order() -> list[Column]:
-    return [c("dollars").desc(), c("facility_name").asc(), c("day").asc(), c("facility_type").asc()]
-
-
 def _aged_snapshot(run: Run, threshold: int, name: str, *extra: str) -> dict[str, Column]:
     return {**cols(*extra), name: F.lit(threshold), "breached_at": text("breached_at")}
 
@@ -126,11 +129,11 @@ CHECKS: dict[str, Check] = {
         "ledger_id": c("ledger_id"), "ref_order_type": c("ref_order_type"), "ref_order_id": F.lit(None).cast("string"),
         **cols("consumable_sku", "item_name"), "facility": shown(c("facility")), "system": shown(c("system")),
         "movement": c("movement"), "datetime_utc": text("occurred_at"), "breached_at": text("breached_at")}),
-    "PO-02": Check(_plain(po.po02), LEDGER, lambda: [c("receipt_rows").desc(), c("entity_key").asc()], lambda run: {
+    "PO-02": Check(_plain(po.po02), LEDGER, _largest("receipt_rows"), lambda run: {
         "po": c("po"), "facility": shown(c("facility")), "system": shown(c("system")), "receipt_rows": c("receipt_rows"),
         "first_receipt": text("first_seen"), "last_receipt": text("last_seen"), "breached_at": text("breached_at")},
         renames={"last_receipt": "last_seen"}),
-    "PO-03": Check(_plain(po.po03), LEDGER, lambda: [c("over_frac").desc(), c("entity_key").asc()], _over_receipt_snapshot,
+    "PO-03": Check(_plain(po.po03), LEDGER, _largest("over_frac"), _over_receipt_snapshot,
                    _over_receipt_extra, band=lambda run: po.over_band(run.settings.over_urgent), renames={"last_receipt": "last_receipt_date"}),
     "PO-06": Check(_plain(po.po06), ORDERS, _newest("last_po_at"), lambda run: {
         **cols("consumable_sku", "house_sku", "supplier_sku"), "item_name": c("product_name"),
@@ -184,14 +187,14 @@ CHECKS: dict[str, Check] = {
     "TWH-01": Check(_plain(xfer.twh01), LEDGER, _oldest("last_activity"), lambda run: {
         **cols("transfer_order", "base_sku", "transit_in", "transit_out", "failure_mode"),
         "last_activity": text("last_activity"), "breached_at": text("breached_at")}),
-    "COMPLETE-02": Check(_plain(value.complete02), LEDGER, lambda: [c("running_on_hand").asc(), c("id").asc()], lambda run: {
+    "COMPLETE-02": Check(_plain(value.complete02), LEDGER, lambda: c("running_on_hand"), lambda run: {
         "facility": shown(c("facility_name")), **cols("consumable_sku", "consumable_quantity_change", "running_on_hand"),
         "datetime_utc": text("datetime_utc"), "breached_at": text("breached_at")}),
-    "WASTE-DAILY": Check(lambda i, r, cfg: value.waste_daily(i, r, cfg), LEDGER, _facility_day_order,
+    "WASTE-DAILY": Check(lambda i, r, cfg: value.waste_daily(i, r, cfg), LEDGER, _largest("dollars"),
                          _facility_day_snapshot("waste_dollars"), _facility_day_extra("net-loss"), band=lambda run: c("severity")),
-    "ADJ-DAILY": Check(lambda i, r, cfg: value.adj_daily(i, r, cfg), LEDGER, _facility_day_order,
+    "ADJ-DAILY": Check(lambda i, r, cfg: value.adj_daily(i, r, cfg), LEDGER, _largest("dollars"),
                        _facility_day_snapshot("adjust_dollars"), _facility_day_extra("adjusted"), band=lambda run: c("severity")),
-    "COST-01": Check(_plain(value.cost01), LEDGER, lambda: [c("waste_qty").desc(), c("entity_key").asc()], lambda run: {
+    "COST-01": Check(_plain(value.cost01), LEDGER, _largest("waste_qty"), lambda run: {
         **cols("consumable_sku", "item_name", "consumable_uom"), "facility": shown(c("facility")), "facility_type": c("facility_type"),
         "system": shown(c("system")), "waste_qty_window": c("waste_qty"), "first_seen": text("first_seen"), "last_seen": text("last_seen"),
         "why_flagged": F.lit("Adjusted in the ledger but without any standard-cost record, so its waste has no value."),
@@ -223,19 +226,13 @@ def offenders(rule_id: str, inputs: Inputs, run: Run, config: Config) -> DataFra
     return df.withColumns({n: v for n, v in fill.items() if n not in df.columns})
 
 
-def cap_offenders(rule_id: str, df: DataFrame, run: Run, totals: bool = False) -> DataFrame:
-    """Apply the rule's cap (per severity band where it has one); ``totals`` adds ``total_matches``."""
-    check = CHECKS[rule_id]
-    kept = capped(df, check.order(), check.cap(run), check.band(run) if check.band else None)
-    return with_total(kept, df) if totals else kept
-
-
 def to_findings(rule_id: str, df: DataFrame, run: Run) -> DataFrame:
     """The common envelope: identity, routing inputs, typed keys and the snapshot text."""
     check = CHECKS[rule_id]
     fixed = {
         "rule_id": F.lit(rule_id), "source_table": F.lit(check.source),
         "snapshot": snapshot_json(check.always(run), check.optional(run)),
+        "band": check.band(run) if check.band else F.lit("all"), "rank": check.rank(),
     }
     if "facility" in df.columns:
         fixed["facility"] = shown(c("facility"))
@@ -250,7 +247,8 @@ def to_findings(rule_id: str, df: DataFrame, run: Run) -> DataFrame:
 
 
 def find(rule_id: str, inputs: Inputs, run: Run, config: Config) -> DataFrame:
-    return to_findings(rule_id, cap_offenders(rule_id, offenders(rule_id, inputs, run, config), run), run)
+    """All findings of one rule, before any cap."""
+    return to_findings(rule_id, offenders(rule_id, inputs, run, config), run)
 
 
 def enabled_rules(config: Config) -> list[str]:
@@ -260,6 +258,30 @@ def enabled_rules(config: Config) -> list[str]:
 
 
 def find_all(inputs: Inputs, run: Run, config: Config, rule_ids: list[str] | None = None) -> DataFrame:
-    """Findings of all enabled rules as one frame."""
+    """Findings of all enabled rules as one frame, before any cap."""
     ids = enabled_rules(config) if rule_ids is None else rule_ids
     return reduce(DataFrame.unionByName, [find(r, inputs, run, config) for r in ids])
+
+
+def matches(findings: DataFrame) -> DataFrame:
+    """How many entities each rule flagged before its cap."""
+    return findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("total_matches"))
+
+
+def cap_findings(findings: DataFrame, run: Run) -> DataFrame:
+    """Keep each rule's first findings per band, and how many there were in all.
+
+    The reported list is a top-k per (rule, band): the window group limit trims every partition to the
+    cap before anything is shuffled. The totals are one row per rule, so their broadcast is bounded."""
+    limits = {r: check.cap(run) for r, check in CHECKS.items() if check.cap(run) is not None}
+    totals = F.broadcast(matches(findings))
+    ranked = findings.withColumn("_place", F.row_number().over(
+        Window.partitionBy("rule_id", "band").orderBy(F.asc_nulls_last("rank"), "entity_key", "snapshot")))
+    widest = max(limits.values(), default=0)
+    limited = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map()
+    free = findings.filter(~c("rule_id").isin(*limits)) if limits else findings
+    capped_rows = (
+        ranked.filter(c("rule_id").isin(*limits) & (c("_place") <= widest))
+        .filter(c("_place") <= F.element_at(limited, c("rule_id"))).drop("_place")
+    ) if limits else findings.limit(0)
+    return free.unionByName(capped_rows).join(totals, "rule_id")

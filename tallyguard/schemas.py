@@ -50,7 +50,7 @@ FINDING = (
     "rule_id string, error_type string, severity string, source_table string, entity_key string, "
     "breached_at date, facility string, facility_type string, system string, movement string, "
     "last_receipt date, po string, ims_sku string, consumable_sku string, supplier_sku string, "
-    "ledger_id string, po_id string, transfer_order string, day date, snapshot string"
+    "ledger_id string, po_id string, transfer_order string, day date, snapshot string, band string, rank double"
 )
 STATE = (
     "pk bigint, fingerprint string, rule_id string, error_type string, source_table string, entity_key string, "
