@@ -144,7 +144,7 @@ def _shown_resolution(df: DataFrame) -> DataFrame:
     first = F.try_element_at(fields, F.lit(1))
     return df.select(
         "fingerprint", c("resolution.resolved_on").alias("resolved_on"), c("resolution.summary").alias("summary"),
-        (F.round(first["was"], 4) + 0.0).alias("was"), (F.round(first["now"], 4) + 0.0).alias("now"), F.size(fields).cast("bigint").alias("fields"))
+        (F.round(first["was"], 8) + 0.0).alias("was"), (F.round(first["now"], 8) + 0.0).alias("now"), F.size(fields).cast("bigint").alias("fields"))
 
 
 def _recheck(rule_id: str, error_type: str, source: Callable[[Inputs], DataFrame], keys: list[str], run: Run = ORDER_RUN, **fields: Column) -> Query:
