@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard import schemas
 from tallyguard.functions.columns import allowed, compare, entity_key, is_blank
 
 c = F.col
@@ -106,11 +107,9 @@ def run_primitives(rules: list[dict], ledger: DataFrame, orders: DataFrame) -> D
             continue
         found = make(ledger, orders, rule.get("params", {}))
         severity = c("severity") if "severity" in found.columns else F.lit(rule["severity"])
-        out.append(found.select(
-            F.lit(rule["rule_id"]).alias("rule_id"), F.lit(rule["error_type"]).alias("error_type"), severity.alias("severity"),
-            F.lit("inventory_ledger").alias("source_table"), "entity_key", "snapshot",
-            c("facility") if "facility" in found.columns else F.lit(None).cast("string").alias("facility"),
-            (c("facility_type") if "facility_type" in found.columns else F.lit(None).cast("string")).alias("facility_type"),
-            (c("system") if "system" in found.columns else c("system_of_origin")).alias("system"),
-        ))
+        out.append(schemas.complete(found.withColumns({
+            "rule_id": F.lit(rule["rule_id"]), "error_type": F.lit(rule["error_type"]), "severity": severity,
+            "source_table": F.lit("inventory_ledger"),
+            "system": c("system") if "system" in found.columns else c("system_of_origin"),
+        }), schemas.FINDING))
     return reduce(DataFrame.unionByName, out) if out else None

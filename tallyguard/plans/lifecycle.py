@@ -10,7 +10,6 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tallyguard import schemas
 from tallyguard.functions.columns import fingerprint
@@ -119,10 +118,7 @@ def upsert(state: DataFrame, findings: DataFrame, routing: DataFrame, run: Run)
 
 def fit(df: DataFrame) -> DataFrame:
     """Project onto the state schema; columns a new finding does not have yet are NULL."""
-    return df.select(*[
-        (c(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in StructType.fromDDL(schemas.STATE)
-    ])
+    return schemas.complete(df, schemas.STATE)
 
 
 def autoclose(state: DataFrame, closers: DataFrame, run: Run) -> Step:
@@ -219,7 +215,7 @@ def reconcile(state: DataFrame, tracker: DataFrame, now: Column) -> Step:
     })
     events = _event(moved, c("_from"), c("_to"), F.lit("tracker-sync"), now,
                     F.concat(F.lit("Synced from the tracker (moved there to '"), c("_theirs"), F.lit("').")))
-    return Step(fit(out), events, moved.limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schemas.AUDIT)]))
+    return Step(fit(out), events, schemas.complete(moved.limit(0), schemas.AUDIT))
 
 
 def reconcile_counts(state: DataFrame, tracker: DataFrame) -> DataFrame:

@@ -292,7 +292,14 @@ RETRO_TYPES = (
 
 def recheck_all(state: DataFrame, inputs: Inputs, run: Run, config: Config, when: Column | None = None,
                 types: tuple[str, ...] | None = None) -> DataFrame:
-    """Findings in ``state`` that pass now, over every kind (or just ``types``)."""
+    """Findings in ``state`` that pass now, over every kind (or just ``types``).
+
+    Only kinds that have a finding are planned: the list of kinds is a handful of names read back."""
     when = F.lit(run.day) if when is None else when
-    chosen = [(k, f) for k, f in RECHECKS.items() if types is None or set(k) & set(types)]
-    return reduce(DataFrame.unionByName, [f(of_type(state, *k), inputs, run, config, when) for k, f in chosen])
+    present = {r.error_type for r in state.select("error_type").distinct().collect()}
+    wanted = present if types is None else present & set(types)
+    chosen = [f(of_type(state, *kinds), inputs, run, config, when) for kinds, f in RECHECKS.items() if wanted & set(kinds)]
+    nothing = schemas.complete(state.select("pk", "fingerprint").limit(0), f"pk bigint, fingerprint string, resolution {schemas.RESOLUTION}")
+    return reduce(DataFrame.unionByName, chosen, nothing)
+
+

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
 
 LEDGER = (
     "id string, datetime_utc timestamp, event_date date, ref_order_type string, ref_order_id string, "
@@ -75,8 +76,6 @@ RUN_LOG = (
 
 
 def field_names(ddl: str) -> list[str]:
-    from pyspark.sql.types import StructType
-
     return StructType.fromDDL(ddl).fieldNames()
 
 
@@ -84,8 +83,6 @@ def conform(df: DataFrame, ddl: str, names: dict[str, str] | None = None) -> Dat
     """Project onto a declared schema. ``names`` maps logical column -> physical column (P1).
 
     A timestamp column may stay zone-less: day arithmetic is the same either way."""
-    from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
-
     names = names or {}
     wanted = StructType.fromDDL(ddl)
     missing = [names.get(f.name, f.name) for f in wanted if names.get(f.name, f.name) not in df.columns]
@@ -98,3 +95,10 @@ def conform(df: DataFrame, ddl: str, names: dict[str, str] | None = None) -> Dat
         same = have == f.dataType or (isinstance(f.dataType, TimestampType) and isinstance(have, TimestampNTZType))
         out.append((F.col(real) if same else F.col(real).cast(f.dataType)).alias(f.name))
     return df.select(*out)
+
+
+def complete(df: DataFrame, ddl: str) -> DataFrame:
+    """Project onto a declared schema; columns the frame does not have are NULL."""
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)
+    ])
