@@ -37,6 +37,7 @@ ORDER_RUN = Run(ORDER_DAY, True, SWEEP)
 EVENT_RUN = Run(EVENT_DAY, True, SWEEP)
 DAILY_RUN = Run(date(1998, 6, 15), False, Settings())
 TODAY = date(2024, 1, 31)
+SF_SMALL = "/root/testdata/sf0.001"
 
 
 def num(name: str, alias: str | None = None, digits: int = 4) -> Column:

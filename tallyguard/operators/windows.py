@@ -12,15 +12,16 @@ HOT_ROWS = 2_000_000
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, hot_rows: int = HOT_ROWS, largest: int | None = None
 ) -> DataFrame:
     """Running total of ``value`` per key. ``order`` must end in a unique column.
 
-    The largest key is counted first (a map-side combined count). Ordinary data takes one window
+    The largest key is counted first (a map-side combined count) unless the caller knows it. Ordinary data takes one window
     shuffle. Where a key exceeds ``hot_rows`` the rows are range-partitioned on key *and* order, so
     that key spans many tasks; each slice is summed on its own and shifted by the totals before it.
     """
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= hot_rows:
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(frame))

@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tallyguard import schemas
 from tallyguard.functions.columns import layer_text, percent, shown, snapshot_json
@@ -234,16 +233,10 @@ def to_findings(rule_id: str, df: DataFrame, run: Run) -> DataFrame:
         "snapshot": snapshot_json(check.always(run), check.optional(run)),
         "band": check.band(run) if check.band else F.lit("all"), "rank": check.rank(),
     }
-    if "facility" in df.columns:
-        fixed["facility"] = shown(c("facility"))
-    if "system" in df.columns:
-        fixed["system"] = shown(c("system"))
-    out = []
-    for f in StructType.fromDDL(schemas.FINDING):
-        source = check.renames.get(f.name, f.name)
-        col = fixed.get(f.name, c(source) if source in df.columns else F.lit(None))
-        out.append(col.cast(f.dataType).alias(f.name))
-    return df.select(*out)
+    have = set(df.columns)
+    fixed.update({n: shown(c(n)) for n in ("facility", "system") if n in have})
+    fixed.update({n: c(source) for n, source in check.renames.items()})
+    return schemas.complete(df.withColumns(fixed), schemas.FINDING)
 
 
 def find(rule_id: str, inputs: Inputs, run: Run, config: Config) -> DataFrame:

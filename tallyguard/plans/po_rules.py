@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tallyguard.functions.columns import (
     contains_word, entity_key, is_blank, is_receipt, movement, over_fraction, status_in, units_differ,
 )
+from tallyguard.operators.joins import described, measured
 from tallyguard.operators.windows import running_sum
-from tallyguard.session import checkpoint
 from tallyguard.settings import PO_TERMINAL_STATES, Run
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.tables import ledger_day, ledger_window, orders_dated, orders_of
 
 
+c = F.col
+
+
 def one_of(**named: str) -> list[Column]:
     """A representative value per group; the smallest, so that reruns agree."""
     return [F.min(c).alias(n) for n, c in named.items()]
@@ -24,14 +27,14 @@ def one_of(**named: str) -> list[Column]:
 
 def po01(inputs: Inputs, run: Run) -> DataFrame:
     """Receipts in the ledger without an order number; one row per ledger id."""
-    rows = ledger_window(inputs.ledger, run.window_start, run.day).filter(is_receipt() & is_blank(F.col("ref_order_id")))
+    rows = ledger_window(inputs.ledger, run.window_start, run.day).filter(is_receipt() & is_blank(c("ref_order_id")))
     return (
-        rows.groupBy(F.col("id").alias("ledger_id"))
+        rows.groupBy(c("id").alias("ledger_id"))
         .agg(*one_of(facility="facility_name", system="system_of_origin", consumable_sku="consumable_sku",
                      item_name="item_name", l1_action="l1_action", l2_action="l2_action",
                      ref_order_type="ref_order_type", occurred_at="datetime_utc"))
-        .withColumn("entity_key", entity_key(F.col("ledger_id")))
-        .withColumn("movement", movement(F.col("l1_action"), F.col("l2_action")))
+        .withColumn("entity_key", entity_key(c("ledger_id")))
+        .withColumn("movement", movement(c("l1_action"), c("l2_action")))
         .withColumn("breached_at", F.to_date("occurred_at"))
     )
 
@@ -40,15 +43,15 @@ def po11(inputs: Inputs, run: Run) -> DataFrame:
     """Corrections that do not say what they correct. The lower bound of the window is exclusive."""
     first = run.back(run.settings.correction_lookback - 1)
     rows = ledger_window(inputs.ledger, first, run.day).filter(
-        contains_word(F.col("l1_action"), "correct") & is_blank(F.col("correction_ref_id"))
+        contains_word(c("l1_action"), "correct") & is_blank(c("correction_ref_id"))
     )
     return (
-        rows.groupBy(F.col("id").alias("ledger_id"))
+        rows.groupBy(c("id").alias("ledger_id"))
         .agg(*one_of(facility="facility_name", facility_type="facility_type", system="system_of_origin",
                      consumable_sku="consumable_sku", item_name="item_name", l1_action="l1_action",
                      l2_action="l2_action", ref_order_type="ref_order_type", ref_order_id="ref_order_id",
                      occurred_at="datetime_utc"))
-        .withColumn("entity_key", entity_key(F.col("ledger_id")))
+        .withColumn("entity_key", entity_key(c("ledger_id")))
         .withColumn("breached_at", F.to_date("occurred_at"))
     )
 
@@ -57,52 +60,55 @@ def po13(inputs: Inputs, run: Run) -> DataFrame:
     """Purchase rows of the order book without an order number. A sweep keeps undated rows too."""
     rows = orders_dated(orders_of(inputs.orders, "Purchase"), run.window_start, run.day, keep_undated=run.backfill)
     return (
-        rows.filter(is_blank(F.col("po"))).groupBy(F.col("_id").alias("po_id"))
+        rows.filter(is_blank(c("po"))).groupBy(c("_id").alias("po_id"))
         .agg(*one_of(supplier_name="supplier_name", supplier_sku="supplier_sku", consumable_sku="consumable_sku",
                      po_date_utc="po_date_utc"))
-        .withColumn("entity_key", entity_key(F.col("po_id")))
+        .withColumn("entity_key", entity_key(c("po_id")))
         .withColumn("breached_at", F.coalesce(F.to_date("po_date_utc"), F.lit(run.day)))
     )
 
 
 def po09(inputs: Inputs, run: Run) -> DataFrame:
     """Closed purchase lines that never got a vendor price; one row per (order, vendor SKU)."""
-    price = F.col("supplier_price")
+    price = c("supplier_price")
     rows = orders_dated(orders_of(inputs.orders, "Purchase"), run.window_start, run.day).filter(
-        (price.isNull() | (price == 0)) & F.col("supplier_sku").isNotNull() & status_in(F.col("status"), ["CLOSED"])
+        (price.isNull() | (price == 0)) & c("supplier_sku").isNotNull() & status_in(c("status"), ["CLOSED"])
     )
     return (
         rows.groupBy("po", "supplier_sku")
         .agg(*one_of(system="po_source_system", facility="destination_name", order_type="order_type",
                      supplier_name="supplier_name", supplier_sku_name="supplier_sku_name", status="status",
                      supplier_price="supplier_price", po_date_utc="po_date_utc"))
-        .withColumn("entity_key", entity_key(F.col("po"), F.col("supplier_sku")))
+        .withColumn("entity_key", entity_key(c("po"), c("supplier_sku")))
         .withColumn("breached_at", F.to_date("po_date_utc"))
     )
 
 
 def order_progress(orders: DataFrame) -> DataFrame:
-    """Per purchase order: what came, what was ordered, and the schedule of its unfinished lines."""
-    status, due = F.col("status"), F.col("expected_date")
-    is_open, unfinished = status_in(status, ["OPEN"]), ~status_in(status, PO_TERMINAL_STATES)
-    return (
-        orders_of(orders, "Purchase").filter(~is_blank(F.col("po"))).groupBy("po")
-        .agg(
-            *one_of(facility="destination_name", facility_id="destination_id", supplier_name="supplier_name",
-                    system="po_source_system", po_date_utc="po_date_utc"),
-            F.sum(F.coalesce("received_qty", F.lit(0.0))).alias("total_received"),
-            F.sum(F.coalesce("supplier_sku_qty", F.lit(0.0))).alias("total_ordered_supplier"),
-            F.sum(F.when(is_open, F.coalesce("consumable_sku_qty", F.lit(0.0))).otherwise(0.0)).alias("open_ordered"),
-            F.bool_or(is_open).alias("has_open"),
-            F.bool_or(unfinished).alias("not_closed"),
-            F.bool_or(status_in(status, ("CANCELLED", "CANCELED", "VOIDED"))).alias("cancelled"),
-            F.array_join(F.array_sort(F.collect_set(status)), ", ").alias("po_status"),
-            F.count(F.lit(1)).alias("line_count"),
-            F.max(F.when(is_open, due)).alias("open_due"),
-            F.max(F.when(unfinished, due)).alias("unfinished_due"),
-            F.count_if(is_open).alias("open_lines"),
-            F.count_if(unfinished).alias("unfinished_lines"),
-        )
+    """Numbered purchase lines with what they say about their order's progress."""
+    status = c("status")
+    return orders_of(orders, "Purchase").filter(~is_blank(c("po"))).withColumns({
+        "is_open": status_in(status, ["OPEN"]), "unfinished": ~status_in(status, PO_TERMINAL_STATES),
+    })
+
+
+def late_orders(lines: DataFrame, late: Column) -> DataFrame:
+    """Orders for which ``late`` holds on their totals; texts are gathered for those orders only."""
+    zero, is_open, unfinished = F.lit(0.0), c("is_open"), c("unfinished")
+    totals = lines.groupBy("po").agg(
+        F.min("po_date_utc").alias("po_date_utc"),
+        F.sum(F.coalesce("received_qty", zero)).alias("total_received"),
+        F.sum(F.coalesce("supplier_sku_qty", zero)).alias("total_ordered"),
+        F.sum(F.when(is_open, F.coalesce("consumable_sku_qty", zero)).otherwise(zero)).alias("open_ordered"),
+        F.bool_or(is_open).alias("has_open"), F.bool_or(unfinished).alias("not_closed"),
+        F.count(F.lit(1)).alias("line_count"), F.count_if(is_open).alias("open_lines"), F.count_if(unfinished).alias("unfinished_lines"),
+        F.max(F.when(is_open, c("expected_date"))).alias("open_due"),
+        F.max(F.when(unfinished, c("expected_date"))).alias("unfinished_due"),
+    )
+    return described(
+        totals.filter(late), lines, ["po"],
+        *one_of(facility="destination_name", facility_id="destination_id", supplier_name="supplier_name", system="po_source_system"),
+        F.array_join(F.array_sort(F.collect_set("status")), ", ").alias("po_status"),
     )
 
 
@@ -119,29 +125,26 @@ def with_age(df: DataFrame, anchor: str, run: Run, days: int, age: str) -> DataF
 def po07(inputs: Inputs, run: Run) -> DataFrame:
     """Open orders past their expected date with nothing received on any line."""
     s = run.settings
-    late = order_progress(inputs.orders).filter(
-        (F.col("total_received") == 0) & F.col("has_open") & aged(F.col("open_due"), run, s.no_receipt_days, s.no_receipt_lookback)
-    )
+    late = late_orders(order_progress(inputs.orders), (c("total_received") == 0) & c("has_open") & aged(
+        c("open_due"), run, s.no_receipt_days, s.no_receipt_lookback))
     return with_age(late, "open_due", run, s.no_receipt_days, "days_overdue").select(
         "po", "facility", "facility_id", "supplier_name", "system", "po_date_utc", "po_status",
-        F.col("open_due").alias("expected_date"), "days_overdue", F.col("open_ordered").alias("ordered_qty"),
-        "open_lines", "line_count", "breached_at", F.col("po").alias("entity_key"),
+        c("open_due").alias("expected_date"), "days_overdue", c("open_ordered").alias("ordered_qty"),
+        "open_lines", "line_count", "breached_at", c("po").alias("entity_key"),
     )
 
 
 def po08(inputs: Inputs, run: Run) -> DataFrame:
     """Orders received in part, past their expected date and still not closed."""
     s = run.settings
-    got, wanted = F.col("total_received"), F.col("total_ordered_supplier")
-    late = order_progress(inputs.orders).filter(
-        (got > 0) & (got < wanted - 0.001) & F.col("not_closed")
-        & aged(F.col("unfinished_due"), run, s.partial_days, s.partial_lookback)
-    )
+    got, wanted = c("total_received"), c("total_ordered")
+    late = late_orders(order_progress(inputs.orders), (got > 0) & (got < wanted - 0.001) & c("not_closed") & aged(
+        c("unfinished_due"), run, s.partial_days, s.partial_lookback))
     return with_age(late, "unfinished_due", run, s.partial_days, "days_overdue").select(
         "po", "facility", "facility_id", "supplier_name", "system", "po_date_utc", "po_status",
-        F.col("unfinished_due").alias("expected_date"), "days_overdue", wanted.alias("ordered_qty"),
+        c("unfinished_due").alias("expected_date"), "days_overdue", wanted.alias("ordered_qty"),
         got.alias("received_qty"), (wanted - got).alias("shortfall_qty"),
-        F.col("unfinished_lines").alias("open_lines"), "line_count", "breached_at", F.col("po").alias("entity_key"),
+        c("unfinished_lines").alias("open_lines"), "line_count", "breached_at", c("po").alias("entity_key"),
     )
 
 
@@ -150,24 +153,24 @@ def po08(inputs: Inputs, run: Run) -> DataFrame:
 def po02(inputs: Inputs, run: Run) -> DataFrame:
     """Order numbers used by the ledger that no purchase order carries."""
     rows = ledger_window(inputs.ledger, run.window_start, run.day).filter(
-        (F.col("ref_order_type") == "Purchase Order") & F.col("ref_order_id").isNotNull()
+        (c("ref_order_type") == "Purchase Order") & c("ref_order_id").isNotNull()
     )
-    used = rows.groupBy(F.col("ref_order_id").alias("po")).agg(
+    used = rows.groupBy(c("ref_order_id").alias("po")).agg(
         *one_of(facility="facility_name", system="system_of_origin"),
         F.count(F.lit(1)).alias("receipt_rows"),
         F.min("event_date").alias("first_seen"), F.max("event_date").alias("last_seen"),
     )
-    known = orders_of(inputs.orders, "Purchase").filter(F.col("po").isNotNull()).select("po").distinct()
+    known = orders_of(inputs.orders, "Purchase").filter(c("po").isNotNull()).select("po").distinct()
     return (
         used.join(known, "po", "left_anti")
-        .withColumn("entity_key", F.col("po")).withColumn("breached_at", F.col("first_seen"))
+        .withColumn("entity_key", c("po")).withColumn("breached_at", c("first_seen"))
     )
 
 
 def ordered_pairs(orders: DataFrame) -> DataFrame:
     """Per (purchase order, shared SKU): ordered in both units and the order book's own receipts."""
     return (
-        orders_of(orders, "Purchase").filter(F.col("ims_sku").isNotNull()).groupBy("po", "ims_sku")
+        orders_of(orders, "Purchase").filter(c("ims_sku").isNotNull()).groupBy("po", "ims_sku")
         .agg(
             F.sum("ims_sku_qty").alias("ordered_pkg"), F.sum("consumable_sku_qty").alias("ordered_base"),
             F.sum("received_qty").alias("po_received"),
@@ -183,43 +186,43 @@ def is_over(received: Column, ordered: Column, high: float) -> Column:
 def po03(inputs: Inputs, run: Run) -> DataFrame:
     """Over-receipt, measured by the order book's receipts and by the ledger, or units that differ.
 
-    Pass one nets the ledger per (order, SKU) with map-side combine and keeps the offenders. Only the
-    offenders' own ledger rows go through the ordered running total that dates the breach."""
+    Pass one nets the ledger per (order, SKU) with map-side combine and keeps the offenders; a daily run
+    narrows the netted pairs to those touched today, on the partitioning they already have. Only the
+    offenders' own ledger rows, found by joining with the measured offender set, go through the ordered
+    running total that dates the breach."""
     s = run.settings
     pair = ["po", "ims_sku"]
     lookback = s.backfill_lookback if run.backfill else s.receipt_lookback
 
     def movements(df):
         return df.filter(
-            (F.col("ref_order_type") == "Purchase Order") & F.col("ims_sku").isNotNull() & F.col("ref_order_id").isNotNull()
+            (c("ref_order_type") == "Purchase Order") & c("ims_sku").isNotNull() & c("ref_order_id").isNotNull()
         ).withColumnRenamed("ref_order_id", "po")
 
-    rows, orders = movements(ledger_window(inputs.ledger, run.back(lookback), run.day)), inputs.orders
+    rows = movements(ledger_window(inputs.ledger, run.back(lookback), run.day))
+    received = rows.groupBy(*pair).agg(
+        F.sum("ims_quantity_change").alias("led_received"), F.min("consumable_uom").alias("received_uom"), F.count(F.lit(1)).alias("_rows"))
     if not run.backfill:
-        touched = movements(ledger_day(inputs.ledger, run.day)).select(*pair).distinct()
-        rows, orders = rows.join(touched, pair, "left_semi"), orders.join(touched, pair, "left_semi")
-    received = rows.groupBy(*pair).agg(F.sum("ims_quantity_change").alias("led_received"), F.min("consumable_uom").alias("received_uom"))
-    po_over = is_over(F.col("po_received"), F.col("ordered_pkg"), s.over_high)
-    led_over = is_over(F.col("led_received"), F.col("ordered_base"), s.over_high)
-    mismatch = units_differ(F.col("ordered_uom"), F.col("received_uom"))
-    offenders = received.join(ordered_pairs(orders), pair).filter(
-        ((F.col("ordered_pkg") > 0) | (F.col("ordered_base") > 0)) & (mismatch | po_over | led_over)
-    )
-    # offenders' rows only: small, used by the skew check and the running total, so written once
-    facts = [c for c in offenders.columns if c not in pair]
-    theirs = checkpoint(
-        rows.select(*pair, "id", "datetime_utc", "l1_action", "l2_action", "consumable_sku", "item_name", "facility_name",
-                    "facility_type", "system_of_origin", "consumable_uom", "consumable_quantity_change", "ims_quantity_change")
-        .join(offenders, pair)
-    )
-    stepped = running_sum(theirs, pair, ["datetime_utc", "id"], "consumable_quantity_change", "running")
-    change, when = F.col("consumable_quantity_change"), F.col("datetime_utc")
+        received = received.join(movements(ledger_day(inputs.ledger, run.day)).select(*pair).distinct(), pair, "left_semi")
+    po_over = is_over(c("po_received"), c("ordered_pkg"), s.over_high)
+    led_over = is_over(c("led_received"), c("ordered_base"), s.over_high)
+    mismatch = units_differ(c("ordered_uom"), c("received_uom"))
+    offenders = measured(received.join(ordered_pairs(inputs.orders), pair).filter(
+        ((c("ordered_pkg") > 0) | (c("ordered_base") > 0)) & (mismatch | po_over | led_over)
+    ), "_rows")
+    facts = [x for x in offenders.rows.columns if x not in (*pair, "_rows")]
+    theirs = rows.select(
+        *pair, "id", "datetime_utc", "l1_action", "l2_action", "consumable_sku", "item_name", "facility_name", "facility_type",
+        "system_of_origin", "consumable_uom", "consumable_quantity_change", "ims_quantity_change",
+    ).join(offenders.side(*pair, *facts), pair)
+    stepped = running_sum(theirs, pair, ["datetime_utc", "id"], "consumable_quantity_change", "running", largest=offenders.largest)
+    change, when = c("consumable_quantity_change"), c("datetime_utc")
     by_quantity = (
         stepped.withColumn("_qty", F.round(change, 4)).groupBy(*pair, "_qty")
         .agg(
-            F.count_if((F.col("l1_action") == "Add") & (change > 0)).alias("same_qty"),
-            F.min(F.when(F.col("running") > F.col("ordered_base") * (1 + s.over_high), when)).alias("over_at"),
-            F.min(F.when(units_differ(F.col("ordered_uom"), F.col("consumable_uom")), when)).alias("uom_at"),
+            F.count_if((c("l1_action") == "Add") & (change > 0)).alias("same_qty"),
+            F.min(F.when(c("running") > c("ordered_base") * (1 + s.over_high), when)).alias("over_at"),
+            F.min(F.when(units_differ(c("ordered_uom"), c("consumable_uom")), when)).alias("uom_at"),
             F.min(when).alias("first_at"), F.max(when).alias("last_at"),
             *one_of(consumable_sku="consumable_sku", item_name="item_name", facility="facility_name",
                     facility_type="facility_type", system="system_of_origin"),
@@ -237,12 +240,12 @@ def po03(inputs: Inputs, run: Run) -> DataFrame:
         F.max_by("move", "move_rank").alias("move"),
         *[F.any_value(c).alias(c) for c in facts],
     )
-    po_frac = over_fraction(F.col("po_received"), F.col("ordered_pkg"))
-    led_frac = over_fraction(F.col("led_received"), F.col("ordered_base"))
-    any_over = F.coalesce(F.col("po_over"), F.lit(False)) | F.coalesce(F.col("led_over"), F.lit(False))
+    po_frac = over_fraction(c("po_received"), c("ordered_pkg"))
+    led_frac = over_fraction(c("led_received"), c("ordered_base"))
+    any_over = F.coalesce(c("po_over"), F.lit(False)) | F.coalesce(c("led_over"), F.lit(False))
     return (
         merged.withColumns({
-            "move_l1": F.col("move.l1_action"), "move_l2": F.col("move.l2_action"),
+            "move_l1": c("move.l1_action"), "move_l2": c("move.l2_action"),
             "po_over": po_over, "led_over": led_over, "uom_mismatch": mismatch,
             "po_over_frac": po_frac, "led_over_frac": led_frac,
             "over_frac": F.greatest(F.coalesce(po_frac, F.lit(-9.0)), F.coalesce(led_frac, F.lit(-9.0))),
@@ -250,13 +253,13 @@ def po03(inputs: Inputs, run: Run) -> DataFrame:
         .drop("move")
         .withColumns({
             "error_type": F.when(any_over, "PO_OVER_RECEIPT").otherwise("PO_UOM_MISMATCH"),
-            "severity": F.when(any_over & (F.col("over_frac") >= s.over_urgent), "Urgent").otherwise("High"),
-            "implausible_quantity": any_over & (F.col("over_frac") >= 1),
-            "likely_ledger_error": F.coalesce(F.col("led_over"), F.lit(False)) & ~F.coalesce(F.col("po_over"), F.lit(False)),
+            "severity": F.when(any_over & (c("over_frac") >= s.over_urgent), "Urgent").otherwise("High"),
+            "implausible_quantity": any_over & (c("over_frac") >= 1),
+            "likely_ledger_error": F.coalesce(c("led_over"), F.lit(False)) & ~F.coalesce(c("po_over"), F.lit(False)),
             "breached_at": F.when(any_over, F.coalesce("over_breach_date", "last_receipt_date"))
             .otherwise(F.coalesce("uom_breach_date", "first_receipt_date", "last_receipt_date")),
-            "entity_key": entity_key(F.col("po"), F.col("ims_sku")),
-            "movement": movement(F.col("move_l1"), F.col("move_l2")),
+            "entity_key": entity_key(c("po"), c("ims_sku")),
+            "movement": movement(c("move_l1"), c("move_l2")),
         })
     )
 
@@ -264,8 +267,8 @@ def po03(inputs: Inputs, run: Run) -> DataFrame:
 def over_band(urgent: float) -> Column:
     """Cap band of an over-receipt row. Three-valued on purpose: an unknown layer is not "neither over"."""
     return (
-        F.when(F.col("uom_mismatch") & ~(F.col("po_over") | F.col("led_over")), "uom")
-        .when(F.col("over_frac") >= urgent, "over_urgent").otherwise("over_high")
+        F.when(c("uom_mismatch") & ~(c("po_over") | c("led_over")), "uom")
+        .when(c("over_frac") >= urgent, "over_urgent").otherwise("over_high")
     )
 
 
@@ -274,13 +277,13 @@ def catalog_links(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Pairs instead of one array per product: nothing is gathered into a single row, and NULL arrays or
     elements simply contribute no pair."""
-    active = catalog.filter((F.col("status") == "ACTIVE") & F.col("hdr_product_sku").isNotNull())
-    products = active.groupBy(F.col("hdr_product_sku").alias("consumable_sku")).agg(F.min("product_name").alias("product_name"))
+    active = catalog.filter((c("status") == "ACTIVE") & c("hdr_product_sku").isNotNull())
+    products = active.groupBy(c("hdr_product_sku").alias("consumable_sku")).agg(F.min("product_name").alias("product_name"))
     vendor = F.explode(F.concat(
         F.coalesce("vendor_product_skus", F.array().cast("array<string>")), F.array("priority_vendor_product_sku")))
     links = (
-        active.select(F.col("hdr_product_sku").alias("consumable_sku"), vendor.alias("supplier_sku"))
-        .filter(F.col("supplier_sku").isNotNull()).distinct()
+        active.select(c("hdr_product_sku").alias("consumable_sku"), vendor.alias("supplier_sku"))
+        .filter(c("supplier_sku").isNotNull()).distinct()
     )
     return products, links
 
@@ -289,12 +292,12 @@ def po06(inputs: Inputs, run: Run) -> DataFrame:
     """Purchased items whose units differ but whose vendor SKU has no conversion in the catalog."""
     s = run.settings
     first = run.back(s.conversion_lookback) if run.backfill else run.day
-    sku = F.col("consumable_sku")
+    sku = c("consumable_sku")
     rows = orders_dated(orders_of(inputs.orders, "Purchase"), first, run.day).filter(
-        sku.isNotNull() & F.col("supplier_sku").isNotNull()
-        & (F.col("ims_sku_type").isin("WSKU", "Pack SKU") | sku.rlike("^40[0-9]{5}$"))
+        sku.isNotNull() & c("supplier_sku").isNotNull()
+        & (c("ims_sku_type").isin("WSKU", "Pack SKU") | sku.rlike("^40[0-9]{5}$"))
         & ~sku.rlike("^9[0-9]{6}$")
-        & (F.col("consumable_uom") != F.col("supplier_uom"))
+        & (c("consumable_uom") != c("supplier_uom"))
     )
     bought = rows.groupBy("consumable_sku", "supplier_sku").agg(
         *one_of(consumable_uom="consumable_uom", supplier_uom="supplier_uom", supplier_name="supplier_name",
@@ -307,38 +310,40 @@ def po06(inputs: Inputs, run: Run) -> DataFrame:
     return (
         bought.join(links, ["consumable_sku", "supplier_sku"], "left_anti")
         .join(products.withColumn("_known", F.lit(True)), "consumable_sku", "left")
-        .withColumn("missing_record", F.col("_known").isNull()).drop("_known")
-        .withColumn("entity_key", entity_key(F.col("consumable_sku"), F.col("supplier_sku")))
+        .withColumn("missing_record", c("_known").isNull()).drop("_known")
+        .withColumn("entity_key", entity_key(c("consumable_sku"), c("supplier_sku")))
         .withColumn("breached_at", F.coalesce(F.to_date("first_po_at"), F.lit(run.day)))
     )
 
 
 def po14(inputs: Inputs, run: Run) -> DataFrame:
     """SKUs received against an existing order that orders none of them: absent, or a zero line."""
+    pair = ["po", "consumable_sku"]
     rows = ledger_window(inputs.ledger, run.window_start, run.day).filter(
-        (F.col("ref_order_type") == "Purchase Order") & F.col("consumable_sku").isNotNull() & F.col("ref_order_id").isNotNull()
-    )
-    received = rows.groupBy(F.col("ref_order_id").alias("po"), "consumable_sku").agg(
-        *one_of(facility="facility_name", system="system_of_origin", item_name="item_name", received_uom="consumable_uom"),
+        (c("ref_order_type") == "Purchase Order") & c("consumable_sku").isNotNull() & c("ref_order_id").isNotNull()
+    ).withColumnRenamed("ref_order_id", "po")
+    received = rows.groupBy(*pair).agg(
         F.sum("consumable_quantity_change").alias("received_qty"),
-        F.min("event_date").alias("first_receipt_date"), F.max("event_date").alias("last_receipt_date"),
-        F.max_by(F.struct("l1_action", "l2_action"), F.struct("consumable_quantity_change", "datetime_utc", "id")).alias("move"),
-    )
+        F.min("event_date").alias("first_receipt_date"), F.max("event_date").alias("last_receipt_date"))
     book = orders_of(inputs.orders, "Purchase")
     lines = (
-        book.filter(F.col("consumable_sku").isNotNull()).groupBy("po", "consumable_sku")
+        book.filter(c("consumable_sku").isNotNull()).groupBy(*pair)
         .agg(F.sum("consumable_sku_qty").alias("ordered_qty"), F.min("consumable_uom").alias("ordered_uom"))
-        .withColumn("_on", F.lit(True))
+        .withColumn("on_po", F.lit(True))
+    )
+    unordered = (
+        received.join(lines, pair, "left").filter(F.coalesce("ordered_qty", F.lit(0.0)) <= 0)
+        .join(book.groupBy("po").agg(F.min("supplier_name").alias("supplier")), "po")
     )
-    known = book.groupBy("po").agg(F.min("supplier_name").alias("supplier"))
     return (
-        received.join(lines, ["po", "consumable_sku"], "left")
-        .filter(F.coalesce("ordered_qty", F.lit(0.0)) <= 0)
-        .join(known, "po")
+        described(
+            unordered, rows, pair,
+            *one_of(facility="facility_name", system="system_of_origin", item_name="item_name", received_uom="consumable_uom"),
+            F.max_by(F.struct("l1_action", "l2_action"), F.struct("consumable_quantity_change", "datetime_utc", "id")).alias("move"))
         .withColumns({
-            "on_po": F.col("_on").isNotNull(), "move_l1": F.col("move.l1_action"), "move_l2": F.col("move.l2_action"),
-            "entity_key": entity_key(F.col("po"), F.col("consumable_sku")), "breached_at": F.col("first_receipt_date"),
+            "on_po": F.coalesce("on_po", F.lit(False)), "move_l1": c("move.l1_action"), "move_l2": c("move.l2_action"),
+            "entity_key": entity_key(c("po"), c("consumable_sku")), "breached_at": c("first_receipt_date"),
         })
-        .withColumn("movement", movement(F.col("move_l1"), F.col("move_l2")))
-        .drop("_on", "move")
+        .withColumn("movement", movement(c("move_l1"), c("move_l2")))
+        .drop("move")
     )

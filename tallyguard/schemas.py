@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, TimestampNTZType, TimestampType
@@ -75,8 +77,9 @@ RUN_LOG = (
 )
 
 
-def field_names(ddl: str) -> list[str]:
-    return StructType.fromDDL(ddl).fieldNames()
+@lru_cache(maxsize=None)
+def parsed(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
 
 
 def conform(df: DataFrame, ddl: str, names: dict[str, str] | None = None) -> DataFrame:
@@ -84,21 +87,26 @@ def conform(df: DataFrame, ddl: str, names: dict[str, str] | None = None) -> Dat
 
     A timestamp column may stay zone-less: day arithmetic is the same either way."""
     names = names or {}
-    wanted = StructType.fromDDL(ddl)
-    missing = [names.get(f.name, f.name) for f in wanted if names.get(f.name, f.name) not in df.columns]
+    have = {f.name: f.dataType for f in df.schema}
+    wanted = parsed(ddl)
+    missing = [names.get(f.name, f.name) for f in wanted if names.get(f.name, f.name) not in have]
     if missing:
         raise ValueError(f"input lacks columns: {', '.join(missing)}")
     out = []
     for f in wanted:
         real = names.get(f.name, f.name)
-        have = df.schema[real].dataType
-        same = have == f.dataType or (isinstance(f.dataType, TimestampType) and isinstance(have, TimestampNTZType))
+        same = have[real] == f.dataType or (isinstance(f.dataType, TimestampType) and isinstance(have[real], TimestampNTZType))
         out.append((F.col(real) if same else F.col(real).cast(f.dataType)).alias(f.name))
     return df.select(*out)
 
 
 def complete(df: DataFrame, ddl: str) -> DataFrame:
     """Project onto a declared schema; columns the frame does not have are NULL."""
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(ddl)
-    ])
+    have = {f.name: f.dataType for f in df.schema}
+    out = []
+    for f in parsed(ddl):
+        if have.get(f.name) == f.dataType:
+            out.append(F.col(f.name))
+        else:
+            out.append((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name))
+    return df.select(*out)

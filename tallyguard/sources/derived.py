@@ -282,7 +282,7 @@ _DERIVED = {
     "price": derive_price,
     "dim": derive_dim,
 }
-_STAGED: dict[tuple[str, str], str] = {}
+_STAGED: dict[tuple[str, str], Inputs] = {}
 
 
 def stage_path(spark: SparkSession, sf_dir: str) -> str:
@@ -298,16 +298,15 @@ def staged(spark: SparkSession, sf_dir: str) -> Inputs:
         tables.write_ledger(derive_ledger(spark, sf_dir), f"{root}/ledger", grain="month")
         for name, make in _DERIVED.items():
             make(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/{name}")
-        _STAGED[key] = root
-    root = _STAGED[key]
-    price, dim = tables.read_cost_inputs(spark, f"{root}/price", f"{root}/dim")
-    return Inputs(
-        ledger=tables.read_ledger(spark, f"{root}/ledger"),
-        orders=tables.read_orders(spark, f"{root}/orders"),
-        catalog=tables.read_catalog(spark, f"{root}/catalog"),
-        price=price,
-        dim=dim,
-    )
+        price, dim = tables.read_cost_inputs(spark, f"{root}/price", f"{root}/dim")
+        _STAGED[key] = Inputs(
+            ledger=tables.read_ledger(spark, f"{root}/ledger"),
+            orders=tables.read_orders(spark, f"{root}/orders"),
+            catalog=tables.read_catalog(spark, f"{root}/catalog"),
+            price=price,
+            dim=dim,
+        )
+    return _STAGED[key]
 
 
 __all__ = ["Inputs", "derive_catalog", "derive_dim", "derive_ledger", "derive_orders", "derive_price", "schemas", "staged"]
