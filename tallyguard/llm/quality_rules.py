@@ -89,7 +89,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def clean_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """Kept documents with all their columns; failing lines are gone from the text, its length is brought up to date."""
     rows = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("_row"), text_of(docs, text).alias("_text"))
-    kept = judged(rows).filter("kept")
+    # the row number keeps the filter above the measures: pushed below, it would split the text once per window
+    kept = judged(rows).withColumn("_at", F.monotonically_increasing_id()).filter("kept and _at >= 0")
     changed = F.size("_good") < F.size("_lines")
     out = {text: F.when(changed, F.array_join("_good", "\n")).otherwise(F.col("_row")[text])}
     if n_chars in docs.columns:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tallyguard.llm import quality_rules, url_filter
+from tallyguard.llm import exact_dedup, license_scan, quality_rules, secret_scan, url_filter
 
 QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_license_scan": license_scan.OP3_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
