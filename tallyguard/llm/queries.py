@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tallyguard.llm import exact_dedup, license_scan, quality_rules, secret_scan, url_filter
+from tallyguard.llm import bpe, exact_dedup, license_scan, packing, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op5_bpe": bpe.op5_bpe,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE = {
