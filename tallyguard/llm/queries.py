@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from tallyguard.llm import bpe, exact_dedup, license_scan, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filter
+import corpus_pipeline
+from tallyguard.llm import bpe, exact_dedup, license_scan, maxent_lm, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_maxent_lm": maxent_lm.op4_maxent_lm,
     "op5_bpe": bpe.op5_bpe,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,

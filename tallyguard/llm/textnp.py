@@ -45,7 +45,12 @@ def _slices(data: bytes):
 
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word, in order. Equal words have equal hashes."""
-    out = []
+    return hashes_and_heads(data)[0]
+
+
+def hashes_and_heads(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and its first three bytes as a number."""
+    out, heads = [], []
     for part in _slices(data):
         arr = np.frombuffer(part, np.uint8)
         word = np.zeros(len(arr) + 2, np.int8)
@@ -56,7 +61,14 @@ def word_hashes(data: bytes) -> np.ndarray:
         total = np.zeros(len(arr) + 1, np.uint64)
         np.cumsum(_LETTERS[arr] * up[: len(arr)], out=total[1:])
         out.append(mix((total[ends] - total[starts]) * down[starts]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        head = arr[starts].astype(np.uint64)
+        for k in (1, 2):
+            at = starts + k
+            head = (head << np.uint64(8)) | np.where(at < ends, arr[np.minimum(at, len(arr) - 1)], 0).astype(np.uint64)
+        heads.append(head)
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    return np.concatenate(out), np.concatenate(heads)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
