@@ -10,7 +10,7 @@ that is emptied when full. Nothing else is shared between rows and no row is mov
 Defined results: null counts as empty; an empty text has no ids and decodes to the empty text; a text of any length is
 encoded whole; the names of special tokens in a text become their ids; equal rows give equal results, one row each; an empty
 table gives an empty result; extra columns are ignored; a null id is carried through. Characters assigned in Unicode 16 or later count
-as symbols, as Python's tables do not know them; every character assigned before is split as the library splits it.
+as symbols, as Python's tables do not know them; marks newer than Unicode 13 are ordered by Python's tables. Everything else is split as the library does.
 """
 
 from __future__ import annotations
