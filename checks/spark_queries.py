@@ -17,7 +17,7 @@ from tallyguard.operators import primitives as prim
 from tallyguard.operators import setops
 from tallyguard.plans import drilldown, findings, lifecycle, po_rules, rechecks, reports, transfer_rules, value_rules
 from tallyguard.session import checkpoint
-from tallyguard.settings import Run, Settings
+from tallyguard.settings import RESULT_CAP, ZERO_COST_CAP, Run, Settings
 from tallyguard.sources import derived_history as hist
 from tallyguard.sources import tables
 from tallyguard.sources.config_tables import load_config
@@ -28,7 +28,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 c = F.col
 
 # a backlog sweep over all order history up to a day, with no look-back floors and no caps
-ORDER_DAY, EVENT_DAY = date(2000, 6, 15), date(2024, 1, 20)
+# the sweep's day lies behind the last event and the last ship date
+ORDER_DAY = EVENT_DAY = date(2024, 1, 31)
+ON_HAND_DAY = date(2024, 1, 20)
 SWEEP = Settings(
     backfill_lookback=36500, no_receipt_lookback=0, partial_lookback=0, conversion_lookback=36500, transfer_lookback=0,
     correction_lookback=36500, cap=None, zero_cost_cap=None,
@@ -93,7 +95,7 @@ def _rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reported list: at most 500 findings per rule and band, with the totals before the cap."""
-    run = Run(ORDER_DAY, True, Settings(backfill_lookback=36500))
+    run = Run(ORDER_DAY, True, Settings(backfill_lookback=36500, cap=RESULT_CAP, zero_cost_cap=ZERO_COST_CAP))
     found = findings.find_all(staged(spark, sf_dir), run, load_config(spark), ["PO-03", "PO-09", "PO-13", "PO-14", "COST-02"])
     return findings.cap_findings(found, run).select("rule_id", "band", "entity_key", whole("total_matches"))
 
@@ -383,7 +385,7 @@ QUERIES: dict[str, Query] = {
     "xfer04": _rule("XFER-04", ORDER_RUN, lambda: ["facility", "system", "to_status", "order_date", whole("days_since_order")]),
     "xfer07": _rule("XFER-07", ORDER_RUN, lambda: ["facility", "system", "first_pick", whole("days_since_pick")]),
     "twh01": _rule("TWH-01", ORDER_RUN, lambda: ["transfer_order", "base_sku", num("transit_in"), num("transit_out"), "failure_mode", "last_activity"]),
-    "complete02": _rule("COMPLETE-02", Run(EVENT_DAY), lambda: ["id", "facility", "consumable_sku", num("consumable_quantity_change"), num("running_on_hand")]),
+    "complete02": _rule("COMPLETE-02", Run(ON_HAND_DAY), lambda: ["id", "facility", "consumable_sku", num("consumable_quantity_change"), num("running_on_hand")]),
     "standard_cost": _standard_cost,
     "waste_daily": _facility_days(False),
     "adj_daily": _facility_days(True),

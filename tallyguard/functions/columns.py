@@ -94,12 +94,10 @@ def system_name(c: Column) -> Column:
 
 
 def layer_text(received: Column, ordered: Column, unit: Column, pct: Column) -> Column:
-    """``received 27540.0 of 1620.0 ea ordered  (+1600.0% over)``; NULL where a side is unknown."""
-    tail = F.when(pct.isNull(), F.lit("")).otherwise(F.format_string("  (%+.1f%% over)", pct))
-    return F.concat(
-        F.lit("received "), received.cast("string"), F.lit(" of "), ordered.cast("string"),
-        F.when(is_blank(unit), F.lit("")).otherwise(F.concat(F.lit(" "), unit)), F.lit(" ordered"), tail,
-    )
+    """``ordered 1620.0 ea, got 27540.0: +1600.0%``; NULL where a side is unknown."""
+    tail = F.when(pct.isNull(), F.lit("")).otherwise(F.format_string(": %+.1f%%", pct))
+    named = F.when(is_blank(unit), F.lit("")).otherwise(F.concat(F.lit(" "), unit))
+    return F.concat(F.lit("ordered "), ordered.cast("string"), named, F.lit(", got "), received.cast("string"), tail)
 
 
 def contributors_text(top: Column) -> Column:

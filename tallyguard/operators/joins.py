@@ -1,45 +1,17 @@
-"""Joins of a large table against a small set whose size is measured, not assumed."""
+"""Two-pass joins: offenders are found from numbers, written once, and only then described."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tallyguard.session import checkpoint
-
-# keys with a few hundred bytes each: some tens of megabytes on every executor at most
-BROADCAST_ROWS = 200_000
-
-
-@dataclass(frozen=True)
-class Measured:
-    """A materialised set with its row count and, where asked for, the largest value of one column."""
-
-    rows: DataFrame
-    count: int
-    largest: int
-
-    def side(self, *columns: str) -> DataFrame:
-        """The set as a join side: broadcast within the bound, an ordinary shuffled side beyond it."""
-        out = self.rows.select(*columns) if columns else self.rows
-        return F.broadcast(out) if self.count <= BROADCAST_ROWS else out
-
 
-def measured(df: DataFrame, size_column: str | None = None) -> Measured:
-    """Write the set to the shared folder once and read back two numbers about it."""
-    rows = checkpoint(df)
-    size = F.max(size_column) if size_column else F.lit(0)
-    n, largest = rows.agg(F.count(F.lit(1)), size).first()
-    return Measured(rows, n, largest or 0)
+from tallyguard.session import stored
 
 
 def described(offenders: DataFrame, rows: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
     """Offenders found from numbers alone, completed with representative values of their own rows.
 
-    The first pass aggregates numbers in hash maps; text columns are read again for the offenders only,
-    which, within the broadcast bound, moves none of the other rows."""
-    found = measured(offenders)
-    texts = rows.join(found.side(*keys), keys, "left_semi").groupBy(*keys).agg(*aggregates)
-    return texts.join(found.rows, keys)
+    The first pass aggregates numbers in hash maps; text columns are read again for the offenders only. Offenders are a written
+    table, so the optimiser knows their size and picks the join; there is no size switch here."""
+    found = stored(offenders)
+    texts = rows.join(found.select(*keys), keys, "left_semi").groupBy(*keys).agg(*aggregates)
+    return texts.join(found, keys)

@@ -5,42 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.session import checkpoint
 
-# rows of one key that a single task may sort and stream through
-HOT_ROWS = 2_000_000
+# running totals add up decimals, so their result does not depend on the order of additions
+AMOUNT = "decimal(28,6)"
 
 
-def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, hot_rows: int = HOT_ROWS, largest: int | None = None
-) -> DataFrame:
-    """Running total of ``value`` per key. ``order`` must end in a unique column.
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Running total of ``value`` per key. ``order`` begins with a time stamp (or a number) and ends in a unique column.
 
-    The largest key is counted first (a map-side combined count) unless the caller knows it. Ordinary data takes one window
-    shuffle. Where a key exceeds ``hot_rows`` the rows are range-partitioned on key *and* order, so
-    that key spans many tasks; each slice is summed on its own and shifted by the totals before it.
-    """
-    if largest is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(frame))
-    # slice numbers must not change on recompute: they are fixed by a checkpoint
-    sliced = checkpoint(df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
-    inside = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    Rows are summed inside slices of one key and one day, and each slice is shifted by the totals of the days before it.
+    A hot key is thus spread over its days; what one task holds of a key is one total per day."""
+    first = F.col(order[0])
+    day = F.to_date(first) if dict(df.dtypes)[order[0]].startswith("timestamp") else first
+    amount = F.col("_amount")
+    rows = df.withColumns({"_slice": day, "_amount": F.col(value).cast(AMOUNT)})
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        sliced.groupBy("_slice", *keys).agg(F.sum(value).alias("_total"))
-        .withColumn("_before", F.sum("_total").over(earlier)).drop("_total")
-    )
-    rows = sliced.withColumn("_inside", F.sum(value).over(inside)).alias("r")
+    inside = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = rows.groupBy("_slice", *keys).agg(F.sum(amount).alias("_total")).withColumn("_before", F.sum("_total").over(earlier)).drop("_total")
     same = F.lit(True)
     for k in ["_slice", *keys]:
         same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
-    joined = rows.join(totals.alias("t"), same)
-    total = F.when(F.col("t._before").isNull(), F.col("r._inside")).otherwise(
-        F.col("t._before") + F.coalesce(F.col("r._inside"), F.lit(0.0))
-    )
+    joined = rows.withColumn("_inside", F.sum(amount).over(inside)).alias("r").join(before.alias("t"), same)
+    total = F.coalesce(F.col("t._before") + F.col("r._inside"), F.col("r._inside"), F.col("t._before")).cast("double")
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], total.alias(out))
 
 

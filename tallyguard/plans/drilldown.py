@@ -8,18 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.columns import movement
-from tallyguard.operators.windows import HOT_ROWS, capped, running_sum
+from tallyguard.operators.windows import capped, running_sum
 from tallyguard.settings import BACKFILL_LOOKBACK_DAYS, MISSING, RECEIVING_ACTIONS
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.tables import ledger_window, orders_of
 
 c = F.col
 WINDOW_DAYS = BACKFILL_LOOKBACK_DAYS + 35
-TRANSFER_ROWS = 500
 
 
 def breakdown_order(
-    inputs: Inputs, keys: DataFrame, day: date, window_days: int = WINDOW_DAYS, hot_rows: int = HOT_ROWS
+    inputs: Inputs, keys: DataFrame, day: date, window_days: int = WINDOW_DAYS
 ) -> DataFrame:
     """Order lines, then ledger rows with their running net, for each (po, ims_sku) in ``keys``.
 
@@ -38,7 +37,7 @@ def breakdown_order(
     events = moved.select(
         *pair, F.lit("LEDGER").alias("source"), "id", c("consumable_quantity_change").alias("qty"), c("consumable_uom").alias("uom"),
         "l1_action", "l2_action", c("facility_name").alias("facility"), c("datetime_utc").alias("ts"))
-    stepped = running_sum(events.withColumn("_q", F.coalesce("qty", F.lit(0.0))), pair, ["ts", "id"], "_q", "net_to_date", hot_rows).drop("_q")
+    stepped = running_sum(events.withColumn("_q", F.coalesce("qty", F.lit(0.0))), pair, ["ts", "id"], "_q", "net_to_date").drop("_q")
     return stepped.unionByName(lines, allowMissingColumns=True)
 
 
@@ -55,8 +54,8 @@ def duplicate_suspected(events: DataFrame) -> DataFrame:
     return counts.join(flags, ["po", "ims_sku"], "left").withColumn("duplicate_suspected", F.coalesce("duplicate_suspected", F.lit(False)))
 
 
-def breakdown_transfer(inputs: Inputs, keys: DataFrame, limit: int | None = TRANSFER_ROWS) -> DataFrame:
-    """Outward, then inward movements of each transfer order in ``keys`` (at most ``limit`` per order)."""
+def breakdown_transfer(inputs: Inputs, keys: DataFrame, limit: int | None = None) -> DataFrame:
+    """Outward, then inward movements of each transfer order in ``keys`` (the first ``limit`` per order, where asked for)."""
     out = c("l2_action") == "Transfer Out"
     rows = (
         inputs.ledger.filter((c("ref_order_type") == "Transfer Order") & c("l2_action").isin("Transfer Out", *RECEIVING_ACTIONS))

@@ -212,9 +212,8 @@ for _id, _find in (("XFER-02", xfer.xfer02), ("XFER-05", xfer.xfer05)):
         lambda run: {"ordered_qty": F.when(c("on_to"), F.coalesce(c("ordered_qty"), F.lit(0.0)))}, renames={"last_receipt": "last_seen"})
 
 DEFAULTS = {rule_id: (error_type, severity) for rule_id, error_type, severity, *_ in RULES}
-# rules the daily job runs; the others are catalog rules, run on request
-WIRED = [r for r in ("PO-01", "PO-03", "PO-06", "PO-07", "PO-08", "PO-09", "PO-11", "PO-13", "PO-14", "XFER-01", "XFER-02",
-                     "XFER-05", "XFER-04", "XFER-07", "WASTE-DAILY", "ADJ-DAILY", "COST-01", "COST-02")]
+# the order in which rules run; the rule table says which of them do
+ORDER = [*CHECKS]
 
 
 def offenders(rule_id: str, inputs: Inputs, run: Run, config: Config) -> DataFrame:
@@ -245,9 +244,9 @@ def find(rule_id: str, inputs: Inputs, run: Run, config: Config) -> DataFrame:
 
 
 def enabled_rules(config: Config) -> list[str]:
-    """Wired rules switched on in the rule table (a settings table of a few dozen rows)."""
+    """Rules switched on in the rule table (a settings table of a few dozen rows)."""
     on = {r.rule_id for r in config.rules.filter("enabled").select("rule_id").collect()}
-    return [r for r in WIRED if r in on]
+    return [r for r in ORDER if r in on]
 
 
 def find_all(inputs: Inputs, run: Run, config: Config, rule_ids: list[str] | None = None) -> DataFrame:

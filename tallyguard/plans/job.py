@@ -54,10 +54,10 @@ def run_validation(spark: SparkSession, store: StateStore, inputs: Inputs, run:
                    rules: list[str] | None = None, retention_days: int = DEFAULT_RETENTION_DAYS) -> RunResult:
     """Detect, deduplicate, route, open or refresh, recheck open findings, close, log.
 
-    All findings are written once; the capped list and the totals are both read from that table."""
+    All findings are written once and all of them enter state; ``reported`` trims a list for display."""
     ids = book.enabled_rules(config) if rules is None else rules
     everything = store.write_findings(book.find_all(inputs, run, config, ids), store.last_version() + 1)
-    found = checkpoint(life.dedup_findings(book.cap_findings(everything, run).drop("total_matches"), ids))
+    found = checkpoint(life.dedup_findings(everything, ids))
     considered = everything.agg(F.count(F.lit(1))).scalar()
 
     def closers(state: DataFrame, _: DataFrame) -> DataFrame:
@@ -66,6 +66,11 @@ def run_validation(spark: SparkSession, store: StateStore, inputs: Inputs, run:
     return _commit(store, run, found, considered, config, closers, retention_days)
 
 
+def reported(store: StateStore, run: Run) -> DataFrame:
+    """The display list of the last run: each rule's first findings per band, where the settings cap them."""
+    return book.cap_findings(store.findings(store.last_version()), run)
+
+
 def run_on_partition(spark: SparkSession, store: StateStore, findings: DataFrame, scanned: Column, run: Run, config: Config,
                      rules: list[str], retention_days: int = 0) -> RunResult:
     """A run over a partition that is re-evaluated completely: absence from the run means fixed."""

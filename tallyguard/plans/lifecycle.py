@@ -47,7 +47,7 @@ def routed(findings: DataFrame, routing: DataFrame) -> DataFrame:
         team, person = F.when(kind == name, t).otherwise(team), F.when(kind == name, p).otherwise(person)
     by_facility = c("error_type").isin(*FACILITY_ROUTED)
     return (
-        findings.join(routing.select("error_type", "team", "assignee"), "error_type", "left")
+        findings.join(F.broadcast(routing.select("error_type", "team", "assignee")), "error_type", "left")
         .withColumn("routed_team", F.when(by_facility, team).otherwise(F.coalesce("team", F.lit(UNROUTED))))
         .withColumn("routed_assignee", F.when(by_facility, person).otherwise(F.coalesce("assignee", F.lit(UNROUTED))))
         .drop("team", "assignee")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tallyguard.functions.columns import (
     contains_word, entity_key, is_blank, is_receipt, movement, over_fraction, status_in, units_differ,
 )
-from tallyguard.operators.joins import described, measured
+from tallyguard.operators.joins import described
 from tallyguard.operators.windows import running_sum
+from tallyguard.session import stored
 from tallyguard.settings import PO_TERMINAL_STATES, Run
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.tables import ledger_day, ledger_window, orders_dated, orders_of
@@ -188,7 +189,7 @@ def po03(inputs: Inputs, run: Run) -> DataFrame:
 
     Pass one nets the ledger per (order, SKU) with map-side combine and keeps the offenders; a daily run
     narrows the netted pairs to those touched today, on the partitioning they already have. Only the
-    offenders' own ledger rows, found by joining with the measured offender set, go through the ordered
+    offenders' own ledger rows, found by joining with the written offender set, go through the ordered
     running total that dates the breach."""
     s = run.settings
     pair = ["po", "ims_sku"]
@@ -201,21 +202,21 @@ def po03(inputs: Inputs, run: Run) -> DataFrame:
 
     rows = movements(ledger_window(inputs.ledger, run.back(lookback), run.day))
     received = rows.groupBy(*pair).agg(
-        F.sum("ims_quantity_change").alias("led_received"), F.min("consumable_uom").alias("received_uom"), F.count(F.lit(1)).alias("_rows"))
+        F.sum("ims_quantity_change").alias("led_received"), F.min("consumable_uom").alias("received_uom"))
     if not run.backfill:
         received = received.join(movements(ledger_day(inputs.ledger, run.day)).select(*pair).distinct(), pair, "left_semi")
     po_over = is_over(c("po_received"), c("ordered_pkg"), s.over_high)
     led_over = is_over(c("led_received"), c("ordered_base"), s.over_high)
     mismatch = units_differ(c("ordered_uom"), c("received_uom"))
-    offenders = measured(received.join(ordered_pairs(inputs.orders), pair).filter(
+    offenders = stored(received.join(ordered_pairs(inputs.orders), pair).filter(
         ((c("ordered_pkg") > 0) | (c("ordered_base") > 0)) & (mismatch | po_over | led_over)
-    ), "_rows")
-    facts = [x for x in offenders.rows.columns if x not in (*pair, "_rows")]
+    ))
+    facts = [x for x in offenders.columns if x not in pair]
     theirs = rows.select(
         *pair, "id", "datetime_utc", "l1_action", "l2_action", "consumable_sku", "item_name", "facility_name", "facility_type",
         "system_of_origin", "consumable_uom", "consumable_quantity_change", "ims_quantity_change",
-    ).join(offenders.side(*pair, *facts), pair)
-    stepped = running_sum(theirs, pair, ["datetime_utc", "id"], "consumable_quantity_change", "running", largest=offenders.largest)
+    ).join(offenders, pair)
+    stepped = running_sum(theirs, pair, ["datetime_utc", "id"], "consumable_quantity_change", "running")
     change, when = c("consumable_quantity_change"), c("datetime_utc")
     by_quantity = (
         stepped.withColumn("_qty", F.round(change, 4)).groupBy(*pair, "_qty")

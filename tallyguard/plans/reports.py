@@ -22,7 +22,7 @@ def exception_fact(state: DataFrame, sla: DataFrame, today: date) -> DataFrame:
     now, resolved = F.lit(today), F.to_date("resolved_at")
     is_open = ~c("status").isin(*CLOSED_STATES)
     held_since = F.coalesce(F.to_date("sub_assigned_at"), c("first_run_date"))
-    joined = state.join(sla.select("severity", c("resolution_days").alias("_days")), "severity", "left")
+    joined = state.join(F.broadcast(sla.select("severity", c("resolution_days").alias("_days"))), "severity", "left")
     df = joined.select(
         "pk", F.concat(F.lit("ERR-"), F.when(F.length(c("pk").cast("string")) >= 5, c("pk").cast("string")).otherwise(F.lpad(c("pk").cast("string"), 5, "0"))).alias("id"),
         c("last_seen_run").alias("run_date"), "error_type", "severity", "source_table",

@@ -81,7 +81,7 @@ def _facility_days(rows: DataFrame, cost: DataFrame, dollars: Column, counts: Co
 
 def waste_rows(inputs: Inputs, run: Run, config: Config) -> DataFrame:
     """Net waste value per facility-day over the allowed movements; losses net against finds."""
-    rows = ledger_window(inputs.ledger, run.window_start, run.day).join(config.waste_actions, ["l1_action", "l2_action"], "left_semi")
+    rows = ledger_window(inputs.ledger, run.window_start, run.day).join(F.broadcast(config.waste_actions), ["l1_action", "l2_action"], "left_semi")
     cost = standard_cost(inputs.price, inputs.dim)
     return _facility_days(rows, cost, -F.col("net_change") * F.col("unit_cost"), F.col("net_change") < 0)
 
@@ -98,7 +98,7 @@ def with_bands(df: DataFrame, bands: DataFrame, error_type: str) -> DataFrame:
     mine = bands.filter(F.col("error_type") == error_type).select(F.col("facility_type").alias("_type"), "high", "urgent")
     return (
         df.withColumn("_key", F.upper(F.trim(F.coalesce("facility_type", F.lit("")))))
-        .join(mine, F.col("_key") == F.col("_type"), "left")
+        .join(F.broadcast(mine), F.col("_key") == F.col("_type"), "left")
         .withColumn("high", F.coalesce("high", F.lit(DEFAULT_BAND[0])))
         .withColumn("urgent", F.coalesce("urgent", F.lit(DEFAULT_BAND[1])))
         .drop("_key", "_type")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,14 +25,20 @@ def build_session(app: str = "tallyguard", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which must be set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="tallyguard-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return configured.rstrip("/")
 
 
+def stored(df):
+    """Write a table to the shared folder and read it back: lineage ends, and its real size is known to the optimiser."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df):
     """Cut lineage through the shared folder, so a lost executor never replays the whole history."""
     spark = df.sparkSession

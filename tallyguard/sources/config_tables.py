@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from tallyguard import settings as S
 
 
+# settings tables are broadcast; one of more rows than this is no settings table
+LARGEST_TABLE = 10_000
+
+
+def settings_table(df: DataFrame | None) -> DataFrame | None:
+    """A stored settings table, after a look at its size."""
+    if df is not None and df.limit(LARGEST_TABLE + 1).count() > LARGEST_TABLE:
+        raise ValueError(f"a settings table holds at most {LARGEST_TABLE} rows")
+    return df
+
+
 @dataclass(frozen=True)
 class Config:
     bands: DataFrame
@@ -74,6 +85,7 @@ def load_config(
     routing: DataFrame | None = None, rules: DataFrame | None = None, sla: DataFrame | None = None,
 ) -> Config:
     base = default_bands(spark)
+    bands, waste_actions, routing, rules, sla = (settings_table(t) for t in (bands, waste_actions, routing, rules, sla))
     return Config(
         bands=base if bands is None else override_bands(base, bands),
         waste_actions=live_waste_actions(default_waste_actions(spark), waste_actions),

@@ -194,11 +194,12 @@ def _line_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjustments, disposals and corrections, one per event."""
+    # events go round all parts
+    parts = _read(spark, sf_dir, "part").agg(F.max("p_partkey")).scalar()
     event = _read(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", (F.col("event_id") % 200).alias("pk")
+        "event_id", "ts", "user_id", "event_type", "value", (1 + F.col("event_id") % parts).alias("pk")
     )
-    # only the 200 items the event arithmetic can reach
-    item = _read(spark, sf_dir, "part").filter(F.col("p_partkey") < 200).select(
+    item = _read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("pk"), F.col("p_name").alias("item_name"), F.col("p_size").alias("size")
     )
     df = event.join(item, "pk", "left")

@@ -63,7 +63,7 @@ def test_layer_text(spark):
     df = spark.createDataFrame([(27540.0, 1620.0, "ea"), (None, 1.0, None)], "r double, o double, u string")
     pct = col.percent(col.over_fraction(F.col("r"), F.col("o")))
     texts = [r.t for r in df.select(col.layer_text(F.col("r"), F.col("o"), F.col("u"), pct).alias("t")).collect()]
-    assert texts == ["received 27540.0 of 1620.0 ea ordered  (+1600.0% over)", None]
+    assert texts == ["ordered 1620.0 ea, got 27540.0: +1600.0%", None]
 
 
 def test_movement_needs_a_first_action(spark):

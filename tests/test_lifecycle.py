@@ -217,4 +217,4 @@ def test_retro_stamp_uses_each_findings_own_close_date(spark, tmp_path):
 
 
 def test_settings_type():
-    assert Settings().cap == 500 and Run(DAY).window_start == DAY and Run(DAY, True).window_start == DAY - timedelta(days=7)
+    assert Settings().cap is None and Settings().zero_cost_cap is None and Run(DAY).window_start == DAY and Run(DAY, True).window_start == DAY - timedelta(days=7)

@@ -70,8 +70,6 @@ def test_order_breakdown_nets_to_the_flagged_total(spark):
     rows = drilldown.ordered_breakdown(df).collect()
     assert [(r.source, r.net_to_date) for r in rows] == [("PO", None), ("LEDGER", 100.0), ("LEDGER", 200.0), ("LEDGER", 170.0)]
     assert tuple(drilldown.duplicate_suspected(df).first()) == ("P", "S", 3, True)
-    hot = drilldown.ordered_breakdown(drilldown.breakdown_order(data, keys, DAY, hot_rows=1)).collect()
-    assert [r.net_to_date for r in hot] == [r.net_to_date for r in rows]
 
 
 def test_transfer_breakdown_lists_outward_first(spark):
