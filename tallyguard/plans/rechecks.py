@@ -7,6 +7,8 @@ Every recheck takes ``state`` rows (open findings of its kind, with typed keys)
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -58,12 +60,16 @@ def keys_of(state: DataFrame, *names: str) -> DataFrame:
 # ---- current values of the open entities -----------------------------------------------------
 
 def now_over_receipt(state: DataFrame, inputs: Inputs, run: Run, ledger_qty: str = "consumable_quantity_change") -> DataFrame:
-    """Both layers for open (order, SKU) pairs. The ledger side covers the recent window only, so a
-    pair may be known to one side alone: a full outer join. ``ledger_qty`` picks the quantity column."""
+    """Both layers for open (order, SKU) pairs. A pair may be known to one side alone: a full outer join.
+
+    The ledger is read from the finder's window before the oldest open breach on (one value read back), so receipts
+    that were counted when the pair was flagged still count. ``ledger_qty`` picks the quantity column."""
     pair, s = ["po", "ims_sku"], run.settings
     keys = keys_of(state, *pair)
+    oldest = min(run.day, state.agg(F.min("first_run_date")).first()[0] or run.day)
+    since = oldest - timedelta(days=max(s.backfill_lookback, s.receipt_lookback))
     ledger = (
-        ledger_window(inputs.ledger, run.back(s.backfill_lookback), run.day)
+        ledger_window(inputs.ledger, since, run.day)
         .filter((c("ref_order_type") == "Purchase Order") & c("ims_sku").isNotNull())
         .withColumnRenamed("ref_order_id", "po").join(keys, pair, "left_semi")
         .groupBy(*pair).agg(F.sum(ledger_qty).alias("led_received"), F.min("consumable_uom").alias("received_uom"))
@@ -223,7 +229,7 @@ def recheck_received(state: DataFrame, inputs: Inputs, run: Run, config: Config,
 
 
 def _below_limit(state: DataFrame, rows: DataFrame, config: Config, error_type: str, field: str, when: Column, text: str) -> DataFrame:
-    """Facility-days recomputed over the backlog window; a day that fell out of it stays open.
+    """Facility-days recomputed for the open days.
 
     A facility with two types on one day keeps the last row, in order of value (largest first)."""
     now = rows.groupBy(c("facility_name").alias("facility"), "day").agg(F.min("dollars").alias("_now"))
@@ -231,19 +237,25 @@ def _below_limit(state: DataFrame, rows: DataFrame, config: Config, error_type:
     return resolved(passing, when, F.lit(text), F.array(change(field, was(field), c("_now"), F.lit("$"))))
 
 
-def _sweep(state: DataFrame, run: Run) -> Run:
-    """The backlog window that ends on the newest open facility-day (one value read back)."""
-    newest = state.agg(F.max("day")).first()[0]
-    return Run(newest or run.day, True, run.settings)
+def _open_days(state: DataFrame, inputs: Inputs, run: Run) -> tuple[Inputs, Run]:
+    """The ledger of exactly the open days, however old, and a run that spans them (two values read back).
+
+    The days are one small date each, so they are broadcast and prune the ledger's day partitions."""
+    oldest, newest = state.agg(F.min("day"), F.max("day")).first()
+    days = F.broadcast(state.select(c("day").alias("event_date")).distinct())
+    span = Run(newest or run.day, True, replace(run.settings, backfill_lookback=(newest - oldest).days if newest else 0))
+    return replace(inputs, ledger=inputs.ledger.join(days, "event_date", "left_semi")), span
 
 
 def recheck_waste(state: DataFrame, inputs: Inputs, run: Run, config: Config, when: Column) -> DataFrame:
-    return _below_limit(state, waste_rows(inputs, _sweep(state, run), config), config, "WASTE_DAILY_FACILITY", "waste_dollars", when,
+    theirs, span = _open_days(state, inputs, run)
+    return _below_limit(state, waste_rows(theirs, span, config), config, "WASTE_DAILY_FACILITY", "waste_dollars", when,
                         "The day's waste is back under the limit.")
 
 
 def recheck_adjustments(state: DataFrame, inputs: Inputs, run: Run, config: Config, when: Column) -> DataFrame:
-    return _below_limit(state, adjustment_rows(inputs, _sweep(state, run)), config, "ADJ_DAILY_FACILITY", "adjust_dollars", when,
+    theirs, span = _open_days(state, inputs, run)
+    return _below_limit(state, adjustment_rows(theirs, span), config, "ADJ_DAILY_FACILITY", "adjust_dollars", when,
                         "The day's adjustments are back under the limit.")
 
 
