@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,15 @@ from pyspark.sql import functions as F
 from tallyguard.functions.columns import fingerprint, system_name
 from tallyguard.operators import primitives as prim
 from tallyguard.operators import setops
-from tallyguard.plans import drilldown, findings, lifecycle, po_rules, rechecks, reports, transfer_rules, value_rules
-from tallyguard.session import checkpoint
+from tallyguard import schemas
+from tallyguard.plans import drilldown, findings, job, lifecycle, po_rules, rechecks, reports, transfer_rules, value_rules
+from tallyguard.session import checkpoint, shared_dir
 from tallyguard.settings import RESULT_CAP, ZERO_COST_CAP, Run, Settings
 from tallyguard.sources import derived_history as hist
 from tallyguard.sources import tables
 from tallyguard.sources.config_tables import load_config
 from tallyguard.sources.derived import Inputs, staged
+from tallyguard.sources.state_store import StateStore
 from tallyguard.sources.tickets import ticket_actions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +282,32 @@ def _action_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step.state.select(whole("pk"), "status", "routed_assignee", "sub_team", "sub_assignee", clock("sub_assigned_at"), clock("resolved_at"))
 
 
+def _store(spark: SparkSession, sf_dir: str) -> StateStore:
+    """A state store of its own that holds the ticket history as its first version."""
+    store = StateStore(spark, f"{shared_dir(spark)}/state-{uuid4().hex}")
+    empty = spark.createDataFrame([], "fingerprint string")
+    job.commit_step(store, lifecycle.Step(hist.derive_state(spark, sf_dir), schemas.complete(empty, schemas.EVENT), schemas.complete(empty, schemas.AUDIT)), TODAY, "import")
+    return store
+
+
+def _sync_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    job.sync_tracker(store, hist.derive_tracker(spark, sf_dir), TODAY, F.lit(NOW).cast("timestamp"))
+    return store.state().select(whole("pk"), "ticket_key", "status", clock("resolved_at"))
+
+
+def _console_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    job.apply_actions(store, hist.derive_actions(spark, sf_dir), TODAY)
+    return store.state().select(whole("pk"), "status", "routed_assignee", "sub_team", "sub_assignee", clock("sub_assigned_at"), clock("resolved_at"))
+
+
+def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the console's actions ask of the tracker, as stored."""
+    done = job.apply_actions(_store(spark, sf_dir), hist.derive_actions(spark, sf_dir), TODAY)
+    return done.actions.groupBy("action").agg(F.count(F.lit(1)).alias("actions"), F.count_distinct("pk").alias("tickets")).select("action", whole("actions"), whole("tickets"))
+
+
 def _settings_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two versions of a limit table, one row per (supplier, part type) and (supplier, part size)."""
     line = hist._read(spark, sf_dir, "lineitem")
@@ -436,6 +465,7 @@ QUERIES: dict[str, Query] = {
     "past_retention": _past_retention,
     "reconcile_status": _reconcile,
     "reconcile_counts": _reconcile_counts,
+    "sync_state": _sync_state, "console_state": _console_state, "outbox": _outbox,
     "action_replay": _action_replay,
     "table_diff": _table_diff,
     "insert_missing": _insert_missing,

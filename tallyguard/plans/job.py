@@ -46,8 +46,40 @@ def _commit(store: StateStore, run: Run, found: DataFrame, scanned: Column, conf
     store.append("audit_log", opened.audit.unionByName(closed.audit).unionByName(life.purge_audit(after, run.day, retention_days)), version)
     kept, _ = life.purge(after, events, run.day, retention_days)
     store.write_state(kept, version)
+    store.append("outbox", ticket_actions(events), version)
     store.append("validation_run", metrics, version)
-    return RunResult(version, store.log("validation_run").filter(F.col("run_id") == version), ticket_actions(events))
+    return RunResult(version, store.log("validation_run").filter(F.col("run_id") == version), store.outbox(version))
+
+
+def commit_step(store: StateStore, step: life.Step, day: date, kind: str) -> RunResult:
+    """Store the outcome of a step other than a validation run: state, events, audit, outbox, then its run-log entry."""
+    version = store.last_version() + 1
+    store.append("ticket_event", step.events, version)
+    store.append("audit_log", step.audit, version)
+    store.append("outbox", ticket_actions(step.events), version)
+    store.write_state(step.state, version)
+    entry = store.spark.range(1).select(
+        F.lit(version).cast("bigint").alias("run_id"), F.lit(day).alias("run_date"), F.lit(False).alias("backfill"),
+        *[F.lit(0).cast("bigint").alias(n) for n in ("rows_scanned", "error_count", "new_count", "autoclosed_count")],
+        life.as_of(day).alias("finished_at"), F.lit(kind).alias("status"))
+    store.append("validation_run", entry, version)
+    return RunResult(version, store.log("validation_run").filter(F.col("run_id") == version), store.outbox(version))
+
+
+def sync_tracker(store: StateStore, tracker: DataFrame, day: date, now: Column | None = None) -> RunResult:
+    """Take the tracker's own status changes over into state."""
+    return commit_step(store, life.reconcile(store.state(), tracker, life.as_of(day) if now is None else now), day, "sync")
+
+
+def apply_actions(store: StateStore, actions: DataFrame, day: date) -> RunResult:
+    """Apply the console's action log to state."""
+    return commit_step(store, life.replay_actions(store.state(), actions), day, "console")
+
+
+def stamp_closed(store: StateStore, inputs: Inputs, run: Run, config: Config) -> RunResult:
+    """Store the resolutions that closed findings can be given after the fact."""
+    nothing = store.log("ticket_event").limit(0), store.log("audit_log").limit(0)
+    return commit_step(store, life.Step(retro_stamp(store, inputs, run, config), *nothing), run.day, "retro")
 
 
 def run_validation(spark: SparkSession, store: StateStore, inputs: Inputs, run: Run, config: Config,

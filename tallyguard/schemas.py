@@ -71,6 +71,7 @@ EVENT = (
 AUDIT = (
     "actor string, action string, entity string, entity_id string, before string, after string, at timestamp"
 )
+OUTBOX = "ticket_key string, pk bigint, action string, tracker_status string, text string, occurred_at timestamp"
 RUN_LOG = (
     "run_id bigint, run_date date, backfill boolean, rows_scanned bigint, error_count bigint, new_count bigint, "
     "autoclosed_count bigint, finished_at timestamp, status string"

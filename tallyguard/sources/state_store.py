@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyguard import schemas
 
-LOGS = {"ticket_event": schemas.EVENT, "audit_log": schemas.AUDIT, "validation_run": schemas.RUN_LOG}
+LOGS = {"ticket_event": schemas.EVENT, "audit_log": schemas.AUDIT, "outbox": schemas.OUTBOX, "validation_run": schemas.RUN_LOG}
 
 
 class StateStore:
@@ -39,6 +39,19 @@ class StateStore:
         """A log over all committed runs; empty before the first."""
         return self._read(name, LOGS[name], self.last_version())
 
+    def runs(self) -> DataFrame:
+        """Finished validation runs, without the other steps that commit a version."""
+        return self.log("validation_run").filter(F.col("status") == "done")
+
+    def outbox(self, version: int) -> DataFrame:
+        """The ticket actions one version asks for."""
+        return self._read("outbox", f"{schemas.OUTBOX}", None) if version == 0 else self.spark.read.schema(schemas.OUTBOX).parquet(
+            f"{self.root}/outbox/version={version}")
+
+    def findings(self, version: int) -> DataFrame:
+        """All findings of one run, as written."""
+        return self.spark.read.parquet(f"{self.root}/findings/version={version}")
+
     def append(self, name: str, df: DataFrame, version: int) -> None:
         """One run's share of a log. A repeated attempt replaces its own share only."""
         schemas.conform(df, LOGS[name]).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")

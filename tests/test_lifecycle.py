@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyguard import schemas
 from tallyguard.operators import primitives as prim
 from tallyguard.operators import setops
-from tallyguard.plans import job, lifecycle
+from tallyguard.plans import findings, job, lifecycle
 from tallyguard.settings import Run, Settings
 from tallyguard.sources.config_tables import load_config
 from tallyguard.sources.state_store import StateStore
@@ -216,5 +217,35 @@ def test_retro_stamp_uses_each_findings_own_close_date(spark, tmp_path):
     assert (out[0].resolved_on, out[1].resolved_on, out[2]) == (date(2026, 7, 2), date(2026, 7, 6), None)
 
 
+def test_stored_retro_stamps_leave_run_figures_alone(spark, tmp_path):
+    store, config = StateStore(spark, str(tmp_path)), load_config(spark)
+    state = lifecycle.fit(state_rows(spark, {"status": "Closed", "resolved_at": "2026-07-02 09:00:00"}).withColumns({"po": F.lit("PO-1"), "supplier_sku": F.lit("V1")}))
+    store.write_state(state, 1)
+    store.append("validation_run", spark.createDataFrame([(1, DAY, False, 9, 1, 0, 0, datetime(2026, 7, 6), "done")], schemas.RUN_LOG), 1)
+    done = job.stamp_closed(store, inputs(spark, order_rows=[order(2.0)]), Run(DAY), config)
+    assert done.version == store.last_version() == 2 and store.state().first().resolution.resolved_on == date(2026, 7, 2)
+    assert store.runs().count() == 1 and store.log("validation_run").count() == 2 and done.actions.count() == 0
+
+
+def test_caps_trim_the_report_and_never_state(spark, tmp_path):
+    store, run = StateStore(spark, str(tmp_path)), Run(DAY, True, Settings(cap=2))
+    rows = [{"_id": f"X{i}", "po": None, "po_date_utc": "2026-07-05 00:00:00", "consumable_uom": "cs"} for i in range(7)]
+    done = job.run_validation(spark, store, inputs(spark, order_rows=rows), run, load_config(spark), ["PO-13"])
+    assert store.state().count() == 7 and {r.total_matches for r in job.reported(store, run).collect()} == {7}
+    assert job.reported(store, run).count() == 2
+    assert done.actions.groupBy("action").count().collect() == [("create", 7)] and store.outbox(done.version).count() == 7
+
+
+def test_every_rule_can_be_switched_on(spark):
+    config = load_config(spark)
+    every = replace(config, rules=config.rules.withColumn("enabled", F.lit(True)))
+    assert set(findings.enabled_rules(every)) == set(findings.CHECKS) and "TWH-01" not in findings.enabled_rules(config)
+
+
+def test_settings_tables_are_small(spark):
+    with pytest.raises(ValueError):
+        load_config(spark, routing=spark.range(20_000).selectExpr("string(id) as error_type", "'t' as team", "'p' as assignee"))
+
+
 def test_settings_type():
     assert Settings().cap is None and Settings().zero_cost_cap is None and Run(DAY).window_start == DAY and Run(DAY, True).window_start == DAY - timedelta(days=7)

@@ -48,5 +48,13 @@ def test_no_python_no_cross_join_no_global_window(spark, inputs, rule_id):
     assert not re.search(r"Exchange\s+Input.*\n.*Arguments: SinglePartition", plan)
 
 
+@pytest.mark.parametrize("name", ["waste_daily", "waste_by_location", "recheck_waste", "exception_fact"])
+def test_settings_tables_are_broadcast(spark, name):
+    plan = explain(QUERIES[name](spark, SF_SMALL))
+    first = [keys.split("#")[0] for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+    assert not {"severity", "error_type", "_key", "_type"} & set(first)
+    assert first.count("l1_action") <= 1  # the settings table's own distinct
+
+
 def test_registered_names_are_plain():
     assert all(re.fullmatch(r"[a-z][a-z0-9_]*", n) for n in QUERIES)
