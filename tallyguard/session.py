@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,10 +27,14 @@ def build_session(app: str = "tallyguard", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, which must be set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. On a cluster it must be set; only a session
+    whose executors live in the driver's own process gets a folder of its own where none is named."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="tallyguard-")
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
