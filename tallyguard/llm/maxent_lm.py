@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallyguard.llm.common import documents, staged, text_of
 from tallyguard.llm.textnp import hashes_and_heads, mix
 
-CLASSES, BUCKETS, FREQUENT = 64, 1 << 14, 100_000
+CLASSES, BUCKETS, FREQUENT = 32, 1 << 14, 100_000
 BATCH, RATE, BLOCK_WORDS, COUNTED = 4096, 0.25, 65_536, 300_000
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
@@ -70,27 +70,37 @@ def _joined(held):
     return [h[0] for h in held], [h[1] for h in held], np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]), np.cumsum(lengths) - lengths
 
 
-def log_softmax(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    z = weights[feats[:, 0]]
-    for k in (1, 2, 3):
-        z = z + weights[feats[:, k]]
+def logits(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    """Sums of the features' rows, shifted so that the largest of a token is zero."""
+    z = weights[feats[:, 1]]
+    z += weights[0]
+    for k in (2, 3):
+        z += weights[feats[:, k]]
     z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def log_softmax(weights: np.ndarray, feats: np.ndarray) -> np.ndarray:
+    z = logits(weights, feats)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
 def update(weights: np.ndarray, seen: np.ndarray, used: np.ndarray, feats: np.ndarray, target: np.ndarray) -> None:
     """One mini-batch: the summed gradient of each touched row, scaled by the row's own history."""
-    grad = np.exp(log_softmax(weights, feats))
+    grad = logits(weights, feats)
+    np.exp(grad, out=grad)
+    grad /= grad.sum(axis=1, keepdims=True)
     grad[np.arange(len(target)), target] -= 1
-    flat = feats.ravel()
-    order = np.argsort(flat, kind="stable")
+    flat = feats[:, 1:].astype(np.uint16).ravel()
+    order = np.argsort(flat, kind="stable")  # a radix sort for 16-bit numbers
     bucket = flat[order]
     first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    rows = bucket[first]
-    total = np.add.reduceat(grad[order // feats.shape[1]], first, axis=0)
-    seen[rows] += (total * total).mean(axis=1)
-    used[rows] += np.diff(np.r_[first, len(flat)])
-    weights[rows] -= RATE * total / np.sqrt(seen[rows] + 1e-6)[:, None]
+    rows = np.r_[0, bucket[first].astype(np.int64)]
+    total = np.vstack([grad.sum(axis=0), np.add.reduceat(grad[order // 3], first, axis=0)])
+    seen[rows] += np.einsum("ij,ij->i", total, total) / CLASSES
+    used[rows] += np.r_[len(target), np.diff(np.r_[first, len(flat)])]
+    total *= (RATE / np.sqrt(seen[rows] + 1e-6))[:, None]
+    weights[rows] -= total
 
 
 def _count(batches):
@@ -178,6 +188,19 @@ def _score(weights, index, times, base_log, class_log, n_end):
     return run
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """(word, times) of the most frequent words, at most ``most`` of them: all words above a count that a histogram of a few
+    hundred logarithmic bins gives, so no task sorts the vocabulary."""
+    size = F.floor(F.log2("times") * 8)
+    total, least = 0, None
+    for row in sorted(counts.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"]):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["size"]
+    return counts.filter(size >= least if least is not None else F.lit(False)).select("word", "times")
+
+
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10)."""
     c, spark = F.col, docs.sparkSession
@@ -194,7 +217,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     class_log = np.log10(class_n + 0.5 * (class_v + 1))
     weights = train(training, np.log((class_n + 0.5) / (n + 0.5 * CLASSES)).astype(np.float32))
 
-    top = counts.orderBy(c("times").desc(), "word").limit(frequent).select("word", "times").toPandas()  # bounded by ``frequent``
+    top = most_frequent(counts, frequent).toPandas()
     index = {bytes(w): i for i, w in enumerate(top["word"])}
     share = spark.sparkContext.broadcast
     run = _score(share(weights), share(index), share(top["times"].to_numpy(np.int64)), base_log, share(class_log), n_docs)
