@@ -9,8 +9,10 @@ Scale. Equal word sequences become one node first. A band bucket is never expand
 one centre, the member with most company over all its buckets; links merge components, and the next round compares what is
 left of a bucket with another centre, members of the centre's own component excepted. A bucket is finished when its uncompared
 members are in one component, for further links inside could not change any component. Buckets that are still open after the
-rounds are finished by comparing their remaining members of different components, so no candidate is lost. A centre's comparisons are dealt
-out in parts of ``PART`` members. Sets are compared in full, as 64-bit hashes of the shingles. Components come from alternating
+rounds, such as many edited copies that are rarely similar enough to each other, are finished in blocks: the remaining members are
+dealt to parts, each two parts meet in one task, the sizes of all intersections there come from one pass over their shared shingles,
+and only links between components that are still apart go out. So no candidate is lost. A centre's comparisons are dealt out in
+parts of ``PART`` members. Sets are compared in full, as 64-bit hashes of the shingles. Components come from alternating
 large-star and small-star rounds. Nothing is collected but counters.
 
 Defined results: null counts as empty; a text without words has an empty set and is linked with nothing; fewer words than a
@@ -33,7 +35,8 @@ from tallyguard.llm.textnp import mix, shingle_hashes, word_hashes
 
 PLACES, BANDS, ROWS = 1 << 22, 36, 5
 PERCENT, SHINGLE = 80, 5
-PART, CENTRE_ROUNDS = 128, 3
+PART, CENTRE_ROUNDS = 128, 1
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000  # of one part of a bucket
 
 
 @lru_cache(maxsize=1)
@@ -103,10 +106,95 @@ def _compare(shingle: int, percent: int):
                 if 100 * both >= percent * (len(mine) + len(shingles) - both):
                     found[0].append(centre)
                     found[1].append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+            yield _link_batch(*found)
     return run
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    m = len(sets)
+    out = np.zeros(m * m, np.int64)
+    values, owners = np.concatenate(sets), np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[first, len(values)])
+    for f in np.unique(times[(times > 1) & (times <= 12)]):  # few holders: pair by pair
+        held = owners[first[times == f][:, None] + np.arange(f)]
+        for p in range(f):
+            for q in range(p + 1, f):
+                out += np.bincount(held[:, p] * m + held[:, q], minlength=m * m)
+    out = out.reshape(m, m)
+    out = out + out.T
+    common = np.flatnonzero(times > 12)
+    for at in range(0, len(common), 2048):  # many holders: as a matrix product
+        part = common[at:at + 2048]
+        table = np.zeros((m, len(part)), np.float32)
+        column = np.repeat(np.arange(len(part)), times[part])
+        inside = np.arange(len(column)) - np.repeat(np.cumsum(times[part]) - times[part], times[part])
+        table[owners[first[part][column] + inside], column] = 1
+        out += (table @ table.T).astype(np.int64)
+    return out
+
+
+def _block_links(nodes: list, comps: list, sets: list, percent: int) -> tuple[list, list]:
+    """Links that join components of one block that are still apart."""
+    both, size = shared_counts(sets), np.array([len(x) for x in sets])
+    comp = np.array(comps)
+    near = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :])
+    up = {c: c for c in comps}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        x, y = root(comps[i]), root(comps[j])
+        if x != y:
+            up[x] = y
+            a.append(nodes[i])
+            b.append(nodes[j])
+    return a, b
+
+
+def _blocks(shingle: int, percent: int):
+    """Rows come block by block: (key, lo, hi, node, comp, text)."""
+    def run(batches):
+        held: tuple[list, list, list] = ([], [], [])
+        block, seen = None, set()
+        for batch in batches:
+            for key, lo, hi, node, comp, text in zip(*[batch.column(i).to_pylist() for i in range(5)], batch.column(5)):
+                if (key, lo, hi) != block:
+                    if len(held[0]) > 1:
+                        yield _link_batch(*_block_links(*held, percent))
+                    held, block, seen = ([], [], []), (key, lo, hi), set()
+                if node not in seen:
+                    seen.add(node)
+                    for col, value in zip(held, (node, comp, shingle_hashes(word_hashes(text.as_py().lower()), shingle))):
+                        col.append(value)
+        if len(held[0]) > 1:
+            yield _link_batch(*_block_links(*held, percent))
+    return run
+
+
+def _link_batch(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def settled(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between different components among the rows (key, node, n, comp) of each key, enough to join what belongs together."""
+    c = F.col
+    parts = rest.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    dealt = rest.join(parts, "key").withColumn("mine", F.pmod(F.xxhash64("node", "key"), c("parts")))
+    met = dealt.select("key", "node", "comp", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("other"))
+    rows = met.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "comp").join(texts, "node")
+    return rows.select("key", "lo", "hi", "node", "comp", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(
+        _blocks(shingle, percent), "a bigint, b bigint")
+
+
 def verified(edges: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The (centre, node) rows of ``edges`` whose full sets are similar enough, as (a, b)."""
     c = F.col
@@ -144,7 +232,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
         _sign(shingle), "rid bigint, id bigint, digest binary, n bigint, bands array<bigint>"))
     # one node for each word sequence; rows without words stand alone
     nodes = staged(signed.filter("n > 0").groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
     open_rows = staged(members.join(shared, "key"))
@@ -152,7 +240,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     texts = staged(nodes.join(score, "node").select("node", "id", "digest").alias("w").join(
         docs.select("id", c("text").cast("binary").alias("text")).alias("d"), c("w.id").eqNullSafe(c("d.id"))
     ).select("w.node", "w.digest", "d.text").mapInArrow(_matching, "node bigint, text binary"))
-    rows = staged(open_rows.select("key", "node").join(score, "node").withColumn("comp", c("node")))
+    rows = staged(open_rows.select("key", "node").join(score, "node").join(nodes.select("node", "n"), "node").withColumn("comp", c("node")))
     links = None
     for turn in range(CENTRE_ROUNDS + 1):
         keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("score", (-c("node")).alias("back"), "comp")).alias("top")).filter(
@@ -161,15 +249,13 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
         if rest.isEmpty():
             break
         if turn < CENTRE_ROUNDS:
-            edges = rest.filter("comp <> centre_comp").select("centre", "node").distinct()
-        else:  # what a few centres could not settle: the remaining members of a bucket with one another
-            edges = rest.select("key", c("node").alias("centre"), "comp").join(rest.select("key", "node", c("comp").alias("other")), "key").filter(
-                "centre < node and comp <> other").select("centre", "node").distinct()
-        found = staged(verified(staged(edges), texts, shingle, percent))
+            found = staged(verified(staged(rest.filter("comp <> centre_comp").select("centre", "node").distinct()), texts, shingle, percent))
+        else:
+            found = staged(settled(rest.select("key", "node", "n", "comp"), texts, shingle, percent))
         links = found if links is None else links.unionByName(found)
         comps = staged(components(links))
-        rows = staged(rest.filter("node <> centre").select("key", "node", "score").join(comps, "node", "left").select(
-            "key", "node", "score", F.coalesce("comp", "node").alias("comp")))
+        rows = staged(rest.filter("node <> centre").select("key", "node", "score", "n").join(comps, "node", "left").select(
+            "key", "node", "score", "n", F.coalesce("comp", "node").alias("comp")))
     by_digest = nodes.select("digest", "node")
     if links is None:
         by_digest = by_digest.select("digest", c("node").alias("comp"))
