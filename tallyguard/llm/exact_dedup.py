@@ -5,7 +5,8 @@ neighbouring numbers are paired, distinct pairs are sorted and numbered, until e
 content that was compared in full, so they cannot collide; the pair (rounds, number) is a document's identity.
 
 Each naming is a distinct (combined before its shuffle), a sort inside the partitions of that shuffle, and a join back.
-The join is left to the optimiser, which splits a hot block or pair on the rows' side. The number of rounds is the logarithm
+Equal blocks of one batch travel as one row with all their places, so a hot block is combined before it moves, and a hot pair's
+rows are split by the optimiser. The number of rounds is the logarithm
 of the longest text, and each round halves the rows and leaves out finished documents.
 
 Defined results: null counts as the empty text, and all empty texts are equal; the row with the largest id stays, a null id
@@ -26,43 +27,46 @@ from tallyguard.llm.common import documents, staged, text_of
 BLOCK = 4096  # bytes
 
 
+MEMBERS = "array<struct<_rid: bigint, _id: bigint, _sha: string, _n: bigint, _pos: bigint>>"
+
+
 def _cut(block: int):
+    """Equal blocks of one batch become one row with all their places, so a hot block travels once per batch."""
     def run(batches):
+        held: dict[bytes, list] = {}
+        size = 0
         for batch in batches:
-            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            out = {"_rid": [], "_id": [], "_sha": [], "_n": [], "_pos": [], "_block": []}
-            size = 0
-            for rid, key, text in zip(ids, keys, texts):
+            for rid, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 low = text.as_py().lower()  # of bytes: A-Z only
                 sha, n = hashlib.sha256(low).hexdigest(), max(1, -(-len(low) // block))
                 for pos in range(n):
-                    for name, value in zip(out, (rid, key, sha if pos == 0 else None, n, pos, low[pos * block:(pos + 1) * block])):
-                        out[name].append(value)
+                    held.setdefault(low[pos * block:(pos + 1) * block], []).append(
+                        {"_rid": rid, "_id": key, "_sha": sha if pos == 0 else None, "_n": n, "_pos": pos})
                 size += len(low)
                 if size > 1 << 24:
-                    yield _batch(out)
-                    out, size = {name: [] for name in out}, 0
-            yield _batch(out)
+                    yield _batch(held)
+                    held, size = {}, 0
+        if held:
+            yield _batch(held)
     return run
 
 
-def _batch(out: dict) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-    return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
+def _batch(held: dict[bytes, list]) -> pa.RecordBatch:
+    member = pa.struct([("_rid", pa.int64()), ("_id", pa.int64()), ("_sha", pa.string()), ("_n", pa.int64()), ("_pos", pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(member))], names=["_block", "_members"])
 
 
-def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``rows`` with a number that is equal exactly where the keys are equal. Keys may not be null."""
-    numbers = rows.select(*keys).distinct().sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id() + 1)
-    return rows.join(numbers, keys)
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Distinct keys with their number in the order of the keys."""
+    return rows.select(*keys).distinct().sortWithinPartitions(*keys).withColumn(name, F.monotonically_increasing_id() + 1)
 
 
 def identities(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """(_rid, _id, _sha, _level, _name) for rows of (_rid, _id, _text): equal texts share level and name."""
     c = F.col
     blocks = rows.select("_rid", c("_id").cast("bigint").alias("_id"), c("_text").cast("binary").alias("_text")).mapInArrow(
-        _cut(block), "_rid bigint, _id bigint, _sha string, _n bigint, _pos bigint, _block binary")
-    level = staged(named(blocks, ["_block"], "_name").drop("_block"))
+        _cut(block), f"_block binary, _members {MEMBERS}")
+    level = staged(blocks.join(numbered(blocks, ["_block"], "_name"), "_block").select(F.inline("_members"), "_name"))
     done, at = [], 0
     while True:
         done.append(level.filter("_n = 1").select("_rid", "_id", "_sha", F.lit(at).alias("_level"), "_name"))
@@ -73,7 +77,9 @@ def identities(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         pairs = rest.groupBy("_rid", F.expr("_pos div 2").alias("_pos")).agg(
             F.max("_id").alias("_id"), F.max("_sha").alias("_sha"), F.max(F.expr("(_n + 1) div 2")).alias("_n"),
             F.max(F.when(c("_pos") % 2 == 0, c("_name"))).alias("_a"), F.coalesce(F.max(F.when(c("_pos") % 2 == 1, c("_name"))), F.lit(0)).alias("_b"))
-        level, at = staged(named(pairs, ["_a", "_b"], "_name").drop("_a", "_b")), at + 1
+        pairs = staged(pairs)
+        numbers = staged(numbered(pairs, ["_a", "_b"], "_name"))  # a table of its own, so a hot pair's rows can be split in the join
+        level, at = staged(pairs.join(numbers, ["_a", "_b"]).drop("_a", "_b")), at + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
