@@ -173,7 +173,8 @@ def repeats(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """(id, mark, lo, hi): the strings that begin at lo, ..., hi - 1 are repeated. ``docs`` has id, mark and data."""
     c = F.col
     places = staged(docs.select("id", "mark", "data").mapInArrow(_cut, PLACE))
-    common = places.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
+    # a table of its own, so a hot gram's places can be split in the join
+    common = staged(places.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"))
     wanted = places.join(common, "key", "left_semi").groupBy("id", "mark").agg(F.collect_list(F.struct("key", "start", "n")).alias("wanted"))
     found = docs.alias("d").join(wanted.alias("w"), c("d.id").eqNullSafe(c("w.id")) & (c("d.mark") == c("w.mark")))
     parts = staged(found.select("d.id", "d.mark", "d.data", "w.wanted").mapInArrow(_read, PLACE + ", data binary").withColumn("seg", F.xxhash64("data")))
