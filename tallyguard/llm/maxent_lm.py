@@ -160,7 +160,8 @@ def _score(weights, index, times, base_log, class_log, n_end):
         for batch in batches:
             m = batch.num_rows
             n_tokens, n_known, base, score = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
-            rest: list = [[] for _ in range(m)]
+            # words that are looked up later, row after row: flat columns, not an object each
+            late_words, late_classes, late_times, late_rows = [], [], [], np.zeros(m + 1, np.int32)
             for at, words, hashes, target, starts in blocks((i, t.as_py().lower()) for i, t in enumerate(batch.column(2))):
                 feats, logs = features(hashes, starts), np.empty(len(target))
                 for k in range(0, len(target), BATCH):
@@ -180,10 +181,15 @@ def _score(weights, index, times, base_log, class_log, n_end):
                 base[at], score[at] = np.add.reduceat(b, starts), np.add.reduceat(s, starts)
                 for row, first, ws in zip(at, starts, words):
                     miss = np.flatnonzero(place[first:first + len(ws)] == -1)
-                    if len(miss):
-                        rest[row] = [{"word": x, "class": k, "n": n} for (x, k), n in Counter((ws[i], int(target[first + i])) for i in miss).items()]
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("class", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x) for x in (n_tokens, n_known, base, score)], pa.array(rest, kind)],
+                    unknown = Counter([ws[i] for i in miss])
+                    late_words.extend(unknown)
+                    late_times.extend(unknown.values())
+                    kinds = dict(zip([ws[i] for i in miss], target[first + miss].tolist()))
+                    late_classes.extend([kinds[x] for x in unknown])
+                    late_rows[row + 1] = len(unknown)
+            struct = pa.StructArray.from_arrays([pa.array(late_words, pa.binary()), pa.array(late_classes, pa.int64()), pa.array(late_times, pa.int64())], ["word", "class", "n"])
+            rest = pa.ListArray.from_arrays(pa.array(np.cumsum(late_rows), pa.int32()), struct)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x) for x in (n_tokens, n_known, base, score)], rest],
                                              names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
     return run
 
