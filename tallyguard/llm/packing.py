@@ -22,15 +22,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyguard.llm.bpe import KEPT_RUNS, runs_of, vocabulary_path
+from tallyguard.llm.bpe import runs_of, vocabulary_path
 from tallyguard.llm.common import documents, staged, text_of
 
 LENGTH, SEPARATOR, GROUP = 4096, 1, 20_000
 MOST_STEPS = 4000  # of the local search in one group
+END = np.uint32(SEPARATOR).tobytes()
+KEPT_RUNS, TOGETHER = 1_500_000, 1 << 21  # entries of the table of encoded runs; characters encoded together
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library; runs between white space are encoded once and kept in a bounded table."""
+    """Ids by the tokenizers library; runs between white space are encoded once and kept in a bounded table.
+
+    New runs are joined by a mark of one known id and encoded together, for one call costs far more than one run."""
+
+    MARK = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -38,23 +44,39 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.mark = self.ids(self.MARK)[0]
         self.runs: dict[str, bytes] = {}
 
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def learn(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 2000):
-            part = runs[at:at + 2000]
-            for run, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.runs[run] = np.array(e.ids, "<u4").tobytes()
+        for run in runs:
+            if self.MARK in run or "<|" in run:
+                self.runs[run] = np.array(self.ids(run), "<u4").tobytes()
+        plain = [r for r in runs if r not in self.runs]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at:at + 20_000]
+            ids = np.array(self.ids(f" {self.MARK} ".join([*part, ""])), "<u4")
+            ends = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            data, first = ids.tobytes(), 0
+            for run, end in zip(part, ends, strict=True):
+                self.runs[run] = data[first:end]
+                first = end + 4
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        parts = [runs_of(t) for t in texts]
+        new = set().union(*parts).difference(self.runs)
+        if len(self.runs) + len(new) > KEPT_RUNS:
+            self.runs.clear()
+            new = set().union(*parts)
+        if new:
+            self.learn(list(new))
+        known = self.runs
+        return [b"".join([known[r] for r in runs]) for runs in parts]
 
     def encode(self, text: str) -> bytes:
-        runs = runs_of(text)
-        if new := list(dict.fromkeys([r for r in runs if r not in self.runs])):
-            if len(self.runs) + len(new) > KEPT_RUNS:
-                self.runs.clear()
-                new = list(dict.fromkeys(runs))
-            self.learn(new)
-        known = self.runs
-        return b"".join([known[r] for r in runs])
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -67,12 +89,22 @@ def library(path: str) -> LibraryEncoder:
 
 def pieces_of(docs: DataFrame, path: str, length: int, doc_id: str, text: str, with_ids: bool) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document."""
+    def encoded(enc, batch):
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            keys.append(key)
+            texts.append(text.as_py())
+            size += len(texts[-1])
+            if size > TOGETHER:
+                yield from zip(keys, [x + END for x in enc.encode_many(texts)])
+                keys, texts, size = [], [], 0
+        yield from zip(keys, [x + END for x in enc.encode_many(texts)])
+
     def run(batches):
         enc = library(path)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.encode(text.as_py()) + np.uint32(SEPARATOR).tobytes()
+            for key, ids in encoded(enc, batch):
                 for piece, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at:at + 4 * length]
                     for col, value in zip(cols, (key, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None)):
