@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyguard.llm.common import documents, text_of
 
-KEPT_RUNS = 400_000  # entries of the table of encoded runs
+KEPT_RUNS = 1_000_000  # entries of the table of encoded runs
 POSITION_BITS = 40
 NO_SPACE = regex.compile(r"(?:[^\s]|[\x1c-\x1f])+")
 
