@@ -44,6 +44,28 @@ def test_lexer_follows_assignments(text, values):
     assert [text[s:e] for s, k, e in secret_scan.find_spans(text) if k == 3] == values
 
 
+@pytest.mark.parametrize("name", ["pass_phrase", "PASS_PHRASE", "pass_word", "passPhrase", "client_access", "private_client", "api_access", "signing.client"])
+def test_a_name_that_scores_needs_no_other_word_in_the_text(name):
+    text = f'{name} = "q8Wn3ZpL0sVt"'
+    assert [text[s:e] for s, k, e in secret_scan.find_spans(text) if k == 3] == ["q8Wn3ZpL0sVt"]
+    assert secret_scan.redacted(text, "[SECRET]") == f'{name} = "[SECRET]"'
+
+
+def test_every_span_of_the_lexer_is_found_whatever_the_name():
+    rng = random.Random(6)
+    words, found = [*secret_scan.SENSITIVE, "pass", "word", "phrase", "wd", "private", "db", "user", "x"], 0
+    for _ in range(3000):
+        parts = [rng.choice(words) for _ in range(rng.randrange(1, 4))]
+        name = rng.choice([str.lower, str.upper])(rng.choice("_-.").join(parts)) if rng.random() < 0.6 else "".join(w.title() for w in parts)
+        text = f"a = 'Zx81kfQ09aLm'; {name} = " + rng.choice(["a", '"q8Wn3ZpL0sVt"', "short1"])
+        spans = secret_scan.find_spans(text)
+        base = [(s, e) for s, k, e in spans if k < 3]
+        want = {(s, e) for s, e in secret_scan.lexed(text) if not any(a <= s and e <= b for a, b in base)}
+        assert {(s, e) for s, k, e in spans if k == 3} == want, text
+        found += bool(want)
+    assert found > 1000
+
+
 def test_secret_query_columns_and_redaction(spark):
     rows = [*texts(), *((100 + k, t) for k, t in enumerate(SECRETS)), (None, SECRETS[0]), (200, 'x = "Zx81kfQ09aLm"\ndb_password_hash = x')]
     df = table(spark, rows)
