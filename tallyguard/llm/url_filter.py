@@ -22,7 +22,9 @@ from tallyguard.llm.common import LOWER, UPPER, ascii_lower, staged
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, ROUNDS, CUTOFF = 0.85, 8, 0.2
 HOST, PATH = "://([^/?#]*)", "://[^/?#]*([^?#]*)"
+# the SQL twin reads absolute links in lower case; TARGET, the host of a link, takes either case and //host links too
 LINK = r"""href\s*=\s*["']?(https?://[^"'\s>]*)"""
+TARGET = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -45,7 +47,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, share): the share of a host's links to other hosts that go to one host."""
     c = F.col
-    links = pages.select(c("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("link")).select("src", host_of(c("link")).alias("dst"))
+    links = pages.select(c("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(TARGET), 1)).alias("dst")).select("src", ascii_lower(c("dst")).alias("dst"))
     pairs = links.filter((c("src") != c("dst")) & (c("src") != "") & (c("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
     totals = pairs.groupBy("src").agg(F.sum("n").alias("total"))
     return pairs.join(totals, "src").select("src", "dst", (c("n") / c("total")).alias("share"))

@@ -78,6 +78,12 @@ def test_url_rules_and_spread_of_distrust(spark):
     assert url_filter.filter_urls(pages(spark, [])).count() == 0
 
 
+def test_links_in_either_case_and_without_scheme_are_edges(spark):
+    html = """<A HREF="HTTP://Up.io/x?y"> <a Href='//rel.io/x'> <a href=https://low.io#z> <a href="/own"> <a href="page//up.io"> <a HREF = //rel.io>"""
+    edges = url_filter.host_edges(pages(spark, [(1, None, html, "a.io", None, None), (2, None, None, "b.io", None, None)])).collect()
+    assert {(r.src, r.dst): r.share for r in edges} == {("a.io", "up.io"): 0.25, ("a.io", "rel.io"): 0.5, ("a.io", "low.io"): 0.25}
+
+
 def test_url_sql_with_links(spark):
     link = lambda *hosts: "".join(f"<a href='https://{h}/x'>" for h in hosts)
     rows = [(i, f"http://h{i % 7}.{'net' if i % 7 < 2 else 'io'}/p{i}", link(f"h{(i * 3) % 7}.io", "h0.net", "h1.net"), None, None, None) for i in range(40)]
