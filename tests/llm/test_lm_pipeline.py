@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -121,3 +122,9 @@ def test_stages_take_awkward_and_empty_tables(spark):
             assert out.columns == docs.columns
         assert (corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() > 0) == bool(rows)
     assert exact_dedup.drop_copies(table(spark)).count() and near_dedup.one_of_each(table(spark)).count()
+
+
+def test_model_has_the_size_the_readme_names():
+    with open(os.path.join(os.path.dirname(corpus_pipeline.__file__), "README.md")) as f:
+        text = f.read()
+    assert maxent_lm.CLASSES >= 64 and f"({maxent_lm.CLASSES} classes, {maxent_lm.BUCKETS:,} feature rows" in text
