@@ -2,7 +2,8 @@
 
 The class of a word is a hash of its first three bytes; the end of a text is a class of its own. P(class | history) is a softmax over
 hashed features of the history: bias, the word before, the two words before, and the word before that one alone (a skip).
-P(word | class) is the maximum-entropy model with word features only, whose solution is the smoothed relative frequency.
+P(word | class) is the smoothed relative frequency of the word in its class: the history does not reach it, so two words of one
+class keep their ratio in every context.
 
 Training counts every word of every training document. The softmax starts from the class frequencies; each task then makes
 gradient updates (AdaGrad, mini-batches) over its own documents and returns the rows it changed, and the rows are averaged by their
