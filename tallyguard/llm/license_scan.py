@@ -3,7 +3,8 @@
 Words are runs of letters and digits, lower-cased. A template of n words belongs to the window class of the smallest size
 W with n <= 3/4 W; windows of a class begin every W/4 words, so every occurrence lies whole in some window. Each of the 40 bands
 holds one minimum: even where one window matches a template at the threshold (similarity of about 0.25), the bands miss it with a
-chance of 0.75 ** 40 = 1e-5, and most occurrences lie in several windows.
+chance of 0.75 ** 40 = 1e-5, and most occurrences lie in several windows. The classes go on in powers of two up to the longest template,
+so full license texts are matched like notices; a template shorter than one shingle cannot match and is an error.
 
 A band can only collide where a template's minimum occurs among a window's shingles, so texts and windows without any such
 shingle are left out before minima are taken: the same candidates at a fraction of the work.
@@ -59,6 +60,14 @@ def _minima(hashes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, k))))
 
 
+def window_classes(longest: int) -> list[int]:
+    """The fixed classes, and as many more as the longest template needs."""
+    out = list(CLASSES)
+    while out[-1] - out[-1] // 4 < longest:
+        out.append(2 * out[-1])
+    return out
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """(license, n_template, class, shingles, minima, low): one row per template; ``low`` are the shingles that give the minima."""
     if len(templates) > MAX_TEMPLATES:
@@ -66,12 +75,15 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     c = F.col
     pairs = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("notice")) for k, v in templates.items()])
     rows = spark.range(1).select(F.explode(pairs).alias("t")).select("t.license", words_of(c("t.notice")).alias("words"))
-    rows = rows.withColumn("n_template", F.size("words")).filter(c("n_template") >= SHINGLE)
+    rows = rows.withColumn("n_template", F.size("words"))
+    lengths = {r["license"]: r["n_template"] for r in rows.select("license", "n_template").collect()}  # bounded by MAX_TEMPLATES
+    if short := sorted(k for k, n in lengths.items() if n < SHINGLE):
+        raise ValueError(f"templates of fewer than {SHINGLE} words cannot be matched: {short}")
     size = F.lit(None).cast("int")
-    for w in reversed(CLASSES):
+    for w in reversed(window_classes(max(lengths.values()))):
         size = F.when(c("n_template") <= w - w // 4, F.lit(w)).otherwise(size)
     rows = rows.select("license", "n_template", size.alias("class"), F.array_distinct(_shingles(c("words"))).alias("shingles"), _hashes(c("words"), c("n_template")).alias("h"))
-    rows = rows.filter(F.col("class").isNotNull()).withColumn("minima", _minima(c("h")))
+    rows = rows.withColumn("minima", _minima(c("h")))
     # the shingle behind each minimum
     low = F.filter("h", lambda x: F.arrays_overlap(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(x, k)), c("minima")))
     return rows.select("license", "n_template", "class", "shingles", "minima", low.alias("low"))
@@ -100,7 +112,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, doc_
     banded = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("key", key)
     hits = banded.join(bands, ["class", "band", "key"]).withColumn("found", _shingles(c("words")))
     share = F.size(F.array_intersect("shingles", "found")) / F.size("shingles")
-    first = c("start") + F.array_min(F.transform(F.array_intersect("found", "shingles"), lambda x: F.array_position("found", x))) - 1
+    # array_intersect keeps the order of its first array
+    first = c("start") + F.expr("array_position(found, get(array_intersect(found, shingles), 0))") - 1
     sure = hits.withColumn("share", share).filter(c("share") >= threshold).select("_id", "license", "n_template", "share", first.cast("bigint").alias("first"))
     return sure.groupBy("_id", "license").agg(
         F.max("n_template").cast("bigint").alias("n_template_words"), F.max(F.struct("share", (-c("first")).alias("back"))).alias("best"),

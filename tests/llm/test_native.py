@@ -107,3 +107,16 @@ def test_licenses_in_awkward_texts(spark):
     assert license_scan.scan_licenses(table(spark, [])).count() == 0
     with pytest.raises(ValueError):
         license_scan.template_table(spark, {str(k): "a b c d e" for k in range(license_scan.MAX_TEMPLATES + 1)})
+
+
+def test_templates_of_any_length_match_and_short_ones_are_an_error(spark):
+    make = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    templates = {"long": make("a", 1000), "over": make("b", 193), "most": make("c", 192), "five": make("d", 5)}
+    filler = make("f", 77)
+    changed = " ".join(w if k % 100 else "x" for k, w in enumerate(templates["long"].split()))
+    rows = [(k, f"{filler} {t} {filler}") for k, t in enumerate(templates.values())] + [(10, f"{filler} {changed}"), (11, make("a", 700)), (12, filler * 9)]
+    got = {(r.doc_id, r.license): (round(r.containment, 3), r.first_word, r.n_template_words) for r in license_scan.scan_licenses(table(spark, rows), templates).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 10} == {(k, name): (1.0, 77, len(t.split())) for k, (name, t) in enumerate(templates.items())}
+    assert set(got) == {*enumerate(templates), (10, "long")} and got[(10, "long")] == (round(950 / 996, 3), 78, 1000)
+    with pytest.raises(ValueError, match="short"):
+        license_scan.template_table(spark, {"fine": make("a", 9), "short": "four words are few"})
