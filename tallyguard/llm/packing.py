@@ -4,8 +4,8 @@ Tokens come from the public tokenizer file, a separator ends each document, and
 Pieces are dealt evenly to groups of about ``GROUP`` pieces, however many there are, and each group is packed by one task:
 a best-fit start, then a local search among the bins that are not full. The emptiest bin gives its pieces away: by a move where
 one fits, else by exchanging one for a smaller one, or two for one, in a bin with room; each step fills a bin that is
-fuller than the giver, so the sum of squared fills rises, until the bin is empty or no step is left. A group ends at most a bin or
-so above its own lower bound, a loss of about one bin in ten thousand pieces.
+fuller than the giver, so the sum of squared fills rises, which ends the search. It goes on until the lower bound is reached or no
+step is left in any bin; all pairs of a bin's pieces are looked at, and a bin without a step is tried again with what changed since.
 
 Defined results: null counts as empty, and an empty text is the separator alone; equal rows are packed as so many documents;
 ties go to the smaller id; a null id is carried through; an empty table gives an empty result; extra columns are ignored.
@@ -14,7 +14,7 @@ ties go to the smaller id; a null id is carried through; an empty table gives an
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,6 @@ from tallyguard.llm.bpe import runs_of, vocabulary_path
 from tallyguard.llm.common import documents, staged, text_of
 
 LENGTH, SEPARATOR, GROUP = 4096, 1, 20_000
-MOST_STEPS = 4000  # of the local search in one group
 END = np.uint32(SEPARATOR).tobytes()
 KEPT_RUNS, TOGETHER = 1_500_000, 1 << 21  # entries of the table of encoded runs; characters encoded together
 
@@ -150,54 +149,92 @@ class Bins:
         """Items ``go`` leave bin ``src`` for ``dst``, items ``back`` the other way."""
         for a, b, moved in ((src, dst, go), (dst, src, back)):
             for x in moved:
-                self.items[a].remove(x)
+                at = bisect_left(self.items[a], x)
+                del self.items[a][at]
                 insort(self.items[b], x)
                 self.room[a] += x[0]
                 self.room[b] -= x[0]
 
-    def step(self, src: int, others: list[int]) -> bool:
-        """One step that fills one of ``others`` from ``src``; False if there is none."""
+    def step(self, src: int, others: list[int]) -> int:
+        """One step that fills one of ``others`` from ``src``: the bin that was filled, -1 if there is none."""
         mine = self.items[src]
+        most = max((self.room[b] for b in others), default=0)
         for size, item in reversed(mine):  # a move, to the tightest bin
-            fit = [b for b in others if self.room[b] >= size]
-            if fit:
-                self.shift(src, min(fit, key=lambda b: (self.room[b], b)), [(size, item)], [])
-                return True
-        best = None  # gain, destination, what goes, what comes back
-        gives = [(s, [(s, i)]) for s, i in mine]
-        gives += [(mine[i][0] + mine[j][0], [mine[i], mine[j]]) for i in range(min(len(mine), 24)) for j in range(i)]
-        for b in others:
-            room, theirs = self.room[b], self.items[b]
-            for size, go in gives:  # the smallest item of b that makes the gain fit its room
-                k = bisect_left(theirs, (size - room, -1))
-                if k < len(theirs) and (gain := size - theirs[k][0]) > 0 and (best is None or gain > best[0]):
-                    best = (gain, b, go, [theirs[k]])
-                    if gain == room:
-                        break
-        if best is None:
-            return False
-        self.shift(src, best[1], best[2], best[3])
-        return True
-
-    def improve(self, most: int) -> None:
+            if size <= most:
+                dst = min((b for b in others if self.room[b] >= size), key=lambda b: (self.room[b], b))
+                self.shift(src, dst, [(size, item)], [])
+                return dst
+        gives = 0  # bit s: one item or two together have size s
+        ones, sizes = 0, [s for s, _ in mine]
+        for k, s in enumerate(sizes):
+            if k == 0 or s != sizes[k - 1] or (k == 1 or s != sizes[k - 2]):  # a third equal one adds no pair
+                gives |= ones << s
+                ones |= 1 << s
+        gives |= ones
+        best, found = 0, None
+        for b in sorted(others, key=lambda b: (-self.room[b], b)):
+            room, last = self.room[b], -1
+            if room <= best:  # none fills more than the room left
+                break
+            window = (1 << room) - 1
+            for x in self.items[b]:
+                if x[0] != last:
+                    last = x[0]
+                    gain = (gives >> (last + 1) & window).bit_length()
+                    if gain > best:
+                        best, found = gain, (b, x)
+                        if gain == room:
+                            break
+        if found is None:
+            return -1
+        dst, back = found
+        self.shift(src, dst, self.given(mine, best + back[0]), [back])
+        return dst
+
+    @staticmethod
+    def given(mine: list, size: int) -> list:
+        """One item of ``size``, or two that have it together."""
+        first: dict[int, tuple[int, int]] = {}
+        for x in mine:
+            if x[0] == size:
+                return [x]
+        for x in mine:
+            if size - x[0] in first:
+                return [first[size - x[0]], x]
+            first.setdefault(x[0], x)
+        raise AssertionError("no such items")
+
+    def improve(self, most: int | None = None) -> None:
+        """Steps until the lower bound is reached or none is left; ``most`` of them if it is given."""
         total = self.limit * len(self.items) - sum(self.room)
-        bound = -(-total // self.limit)
-        stuck: set[int] = set()
-        while most > 0 and sum(1 for x in self.items if x) > bound:
-            open_bins = [b for b, x in enumerate(self.items) if x and self.room[b] > 0]
-            able = [b for b in open_bins if b not in stuck]
-            if not able or len(open_bins) < 2:
+        bound, left = -(-total // self.limit), sum(1 for x in self.items if x)
+        log: list[int] = []  # bins as they change; a bin without a step is tried again only with what changed since
+        tried: dict[int, int] = {}
+        again = True
+        while again and left > bound:
+            again = False
+            able = sorted((b for b, x in enumerate(self.items) if x and self.room[b] > 0), key=lambda b: (-self.room[b], b))
+            for src in able:
+                since = log[tried[src]:] if src in tried else able
+                if src in tried and not since:
+                    continue
+                recent = able if src in since else set(since)
+                others = [b for b in recent if b != src and self.items[b] and 0 < self.room[b] <= self.room[src]]
+                while self.items[src] and (most is None or most > 0) and (dst := self.step(src, others)) >= 0:
+                    most, again = None if most is None else most - 1, True
+                    log += [src, dst]
+                    # the bin has changed, and has more room: all others count
+                    others = [b for b in able if b != src and self.items[b] and 0 < self.room[b] <= self.room[src]]
+                if not self.items[src]:
+                    left -= 1
+                tried[src] = len(log)
+                if again:
+                    break
+            if most == 0:
                 return
-            src = max(able, key=lambda b: (self.room[b], -b))
-            others = [b for b in open_bins if b != src and self.room[b] <= self.room[src]]
-            while most > 0 and self.items[src] and self.step(src, others):
-                most -= 1
-                others = [b for b in others if self.room[b] > 0]
-            if self.items[src]:
-                stuck.add(src)
 
 
-def pack(sizes: list[int], limit: int = LENGTH, most: int = MOST_STEPS) -> list[list[int]]:
+def pack(sizes: list[int], limit: int = LENGTH, most: int | None = None) -> list[list[int]]:
     """Bins of positions in ``sizes``; none holds more than ``limit``."""
     bins = Bins(sizes, limit)
     bins.improve(most)

@@ -97,3 +97,19 @@ def test_local_search_beats_its_start_and_nears_the_bound():
     start.improve(500)
     assert sum(1 for x in start.items if x) <= before and sum((100 - r) ** 2 for r in start.room) >= squares
     assert packing.pack([]) == [] and packing.pack([4096, 4096, 1]) and packing.pack([7, 3, 3, 4, 2, 2], 7) and len(packing.pack([5, 4, 4, 3, 2, 2, 2, 2], 8)) == 3
+
+
+@pytest.mark.parametrize("low, high, limit, count", [(900, 1300, 4096, 150), (20, 60, 100, 90), (1, 40, 400, 400), (1100, 1900, 4096, 120)])
+def test_local_search_ends_only_where_no_step_is_left(low, high, limit, count):
+    for seed in range(4):
+        rng = random.Random(seed)
+        bins = packing.Bins([rng.randint(low, high) for _ in range(count)], limit)
+        bins.improve()
+        used = [b for b, x in enumerate(bins.items) if x]
+        if len(used) <= -(-sum(s for x in bins.items for s, _ in x) // limit):
+            continue
+        for a, b in ((a, b) for a in used for b in used if a != b and 0 < bins.room[b] <= bins.room[a]):
+            sizes = [s for s, _ in bins.items[a]]
+            gains = {*sizes, *(x + y for k, x in enumerate(sizes) for y in sizes[:k])}
+            assert not any(s <= bins.room[b] for s in sizes)
+            assert not any(0 < g - t <= bins.room[b] for g in gains for t, _ in bins.items[b])
