@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tallyguard.llm import bpe, exact_dedup, license_scan, maxent_lm, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filter
+from tallyguard.llm import (
+    bpe, exact_dedup, license_scan, maxent_lm, merkle_manifest, near_dedup, packing, quality_gam, quality_rules, secret_scan, suffix_dedup, token_alignment, url_filter,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +18,9 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_quality_gam": quality_gam.op13_quality_gam,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -23,4 +28,5 @@ ORACLE = {
     "op3_license_scan": license_scan.OP3_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
+    "op12_merkle_manifest": merkle_manifest.OP12_SQL,
 }
