@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tallyguard import schemas
 from tallyguard.functions.columns import is_blank, percent, sku_prefixes, status_in, units_differ
 from tallyguard.plans.po_rules import catalog_links, is_over
-from tallyguard.plans.transfer_rules import transfer_rows
+from tallyguard.plans.transfer_rules import picked_orders, received_orders
 from tallyguard.plans.value_rules import adjustment_rows, standard_cost, waste_rows, with_bands
-from tallyguard.settings import PO_CANCELLED_STATES, PO_TERMINAL_STATES, RECEIVING_ACTIONS, TRANSFER_PICKED_STATES, Run
+from tallyguard.settings import PO_CANCELLED_STATES, PO_TERMINAL_STATES, TRANSFER_PICKED_STATES, Run
 from tallyguard.sources.config_tables import Config
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.tables import ledger_window, orders_of
@@ -213,7 +213,7 @@ def recheck_received_on_transfer(state: DataFrame, inputs: Inputs, run: Run, con
 
 def recheck_picked(state: DataFrame, inputs: Inputs, run: Run, config: Config, when: Column) -> DataFrame:
     """A pick in the ledger, or any line whose status moved past picking."""
-    picked = transfer_rows(inputs.ledger, "Transfer Out").select(c("ref_order_id").alias("transfer_order"))
+    picked = picked_orders(inputs, run)
     moved = orders_of(inputs.orders, "Transfer").filter(status_in(c("status"), TRANSFER_PICKED_STATES)).select(
         c("po").alias("transfer_order"))
     keys = keys_of(state, "transfer_order")
@@ -223,8 +223,7 @@ def recheck_picked(state: DataFrame, inputs: Inputs, run: Run, config: Config, w
 
 def recheck_received(state: DataFrame, inputs: Inputs, run: Run, config: Config, when: Column) -> DataFrame:
     keys = keys_of(state, "transfer_order")
-    came = transfer_rows(inputs.ledger, *RECEIVING_ACTIONS).select(c("ref_order_id").alias("transfer_order")).join(
-        keys, "transfer_order", "left_semi").distinct()
+    came = received_orders(inputs, run).join(keys, "transfer_order", "left_semi").distinct()
     return resolved(state.join(came, "transfer_order", "left_semi"), when, F.lit("The transfer order has been received."))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.functions.columns import base_sku, entity_key, is_blank, movement, sku_prefixes, status_in
+from tallyguard.functions.columns import entity_key, is_blank, movement, sku_prefixes, status_in
 from tallyguard.plans.po_rules import aged, one_of, with_age
 from tallyguard.settings import (
     PO_CANCELLED_STATES, RECEIVING_ACTIONS, TRANSFER_DEAD_STATES, TRANSFER_PICKED_STATES, TRANSIT_SYSTEM, Run,
 )
+from tallyguard.sources.carried import LEGS, TRANSIT, Kept
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.tables import ledger_window, orders_of
 
@@ -102,6 +103,25 @@ def xfer05(inputs: Inputs, run: Run) -> DataFrame:
     return _unordered(_moved_items(inputs, run, *RECEIVING_ACTIONS), ordered_by_prefix(inputs.orders))
 
 
+def kept_at(inputs: Inputs, run: Run, kept: Kept) -> DataFrame | None:
+    """A kept aggregate that stands at the run day, if there is one."""
+    return inputs.carried.at(kept, run.day) if inputs.carried else None
+
+
+def picked_orders(inputs: Inputs, run: Run) -> DataFrame:
+    kept = kept_at(inputs, run, LEGS)
+    if kept is not None:
+        return kept.filter("picked").select("transfer_order")
+    return transfer_rows(inputs.ledger, "Transfer Out").select(F.col("ref_order_id").alias("transfer_order")).distinct()
+
+
+def received_orders(inputs: Inputs, run: Run) -> DataFrame:
+    kept = kept_at(inputs, run, LEGS)
+    if kept is not None:
+        return kept.filter("received").select("transfer_order")
+    return transfer_rows(inputs.ledger, *RECEIVING_ACTIONS).select(F.col("ref_order_id").alias("transfer_order"))
+
+
 def xfer04(inputs: Inputs, run: Run) -> DataFrame:
     """Early-status transfer orders without any pick some days after they were placed."""
     s = run.settings
@@ -117,27 +137,17 @@ def xfer04(inputs: Inputs, run: Run) -> DataFrame:
         .filter(~F.col("_moved_on") & aged(F.col("order_date"), run, s.no_pick_days, s.transfer_lookback))
         .drop("_moved_on")
     )
-    picked = transfer_rows(inputs.ledger, "Transfer Out").select(F.col("ref_order_id").alias("transfer_order")).distinct()
-    late = waiting.join(picked, "transfer_order", "left_anti")
+    late = waiting.join(picked_orders(inputs, run), "transfer_order", "left_anti")
     return with_age(late, "order_date", run, s.no_pick_days, "days_since_order").withColumn("entity_key", F.col("transfer_order"))
 
 
 def xfer07(inputs: Inputs, run: Run) -> DataFrame:
-    """Picked transfer orders never received. Both legs come from one aggregate of the ledger."""
+    """Picked transfer orders never received. Both legs come from one aggregate of the ledger, kept between runs or made anew."""
     s = run.settings
-    out = F.col("l2_action") == "Transfer Out"
-    legs = (
-        transfer_rows(inputs.ledger, "Transfer Out", *RECEIVING_ACTIONS)
-        .groupBy(F.col("ref_order_id").alias("transfer_order"))
-        .agg(
-            F.min(F.when(out, F.col("event_date"))).alias("first_pick"),
-            F.min(F.when(out, F.col("facility_name"))).alias("facility"),
-            F.min(F.when(out, F.col("system_of_origin"))).alias("system"),
-            F.bool_or(~out).alias("_received"),
-        )
-        .filter(~F.col("_received") & aged(F.col("first_pick"), run, s.not_received_days, s.transfer_lookback))
-        .drop("_received")
-    )
+    legs = kept_at(inputs, run, LEGS)
+    if legs is None:
+        legs = LEGS.aggregate(LEGS.rows(inputs.ledger))
+    legs = legs.filter(~F.col("received") & aged(F.col("first_pick"), run, s.not_received_days, s.transfer_lookback)).drop("received", "picked")
     alive = (
         orders_of(inputs.orders, "Transfer").groupBy(F.col("po").alias("transfer_order"))
         .agg(F.bool_or(status_in(F.col("status"), PO_CANCELLED_STATES)).alias("_dead"))
@@ -151,19 +161,14 @@ def twh01(inputs: Inputs, run: Run) -> DataFrame:
     """Items present on one leg at the transit warehouse and absent from the other.
 
     One aggregate per (order, base SKU) yields both transit legs and whether a real origin leg exists."""
-    rows = transfer_rows(inputs.ledger, "Transfer In", "Transfer Out").filter(F.col("ims_sku").isNotNull())
-    transit, change = F.col("system_of_origin") == TRANSIT_SYSTEM, F.col("consumable_quantity_change")
-    incoming = F.col("l2_action") == "Transfer In"
-    legs = rows.groupBy(F.col("ref_order_id").alias("transfer_order"), base_sku(F.col("ims_sku")).alias("base_sku")).agg(
-        F.sum(F.when(transit, F.when(incoming, change).otherwise(0.0))).alias("transit_in"),
-        F.sum(F.when(transit, F.when(incoming, 0.0).otherwise(-change))).alias("transit_out"),
-        F.max(F.when(transit, F.col("event_date"))).alias("last_activity"),
-        F.bool_or(outside_transit() & ~incoming).alias("_origin"),
-    )
+    legs = kept_at(inputs, run, TRANSIT)
+    if legs is None:
+        legs = TRANSIT.aggregate(TRANSIT.rows(inputs.ledger))
+    legs = legs.withColumns({n: F.col(n).cast("double") for n in ("transit_in", "transit_out")})
     arrived, left = F.col("transit_in") > 0, F.col("transit_out") > 0
     return (
-        legs.filter(F.col("_origin") & (arrived != left) & (F.col("last_activity") < F.lit(run.back(run.settings.transit_aging_days))))
-        .drop("_origin")
+        legs.filter(F.col("origin") & (arrived != left) & (F.col("last_activity") < F.lit(run.back(run.settings.transit_aging_days))))
+        .drop("origin")
         .withColumns({
             "failure_mode": F.when(arrived, "STUCK_AT_WAREHOUSE").otherwise("LEFT_WITHOUT_ARRIVING"),
             "entity_key": entity_key(F.col("transfer_order"), F.col("base_sku")),

@@ -10,6 +10,7 @@ from tallyguard.operators.windows import running_sum
 from tallyguard.plans.po_rules import one_of
 from tallyguard.settings import DEFAULT_BAND, NON_ADJUSTMENT_ACTIONS, Run
 from tallyguard.sources.config_tables import Config
+from tallyguard.sources.carried import BALANCE, NO_FACILITY
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.tables import ledger_day, ledger_window
 
@@ -162,22 +163,22 @@ def cost02(inputs: Inputs, run: Run) -> DataFrame:
         {"entity_key": F.col("consumable_sku"), "breached_at": F.lit(run.day)})
 
 
-def opening_balance(ledger: DataFrame, run: Run) -> DataFrame:
-    """On-hand per (facility, SKU) before the run day: one combined sum over history, no ordering."""
-    return (
-        ledger_window(ledger, None, run.back(1)).filter(F.col("consumable_sku").isNotNull())
-        .groupBy("facility_name", "consumable_sku").agg(F.sum("consumable_quantity_change").alias("opening"))
-    )
+def opening_balance(inputs: Inputs, run: Run) -> DataFrame:
+    """On-hand per (facility, SKU) before the run day: kept between runs, else one combined sum over history, no ordering."""
+    kept = inputs.carried.at(BALANCE, run.back(1)) if inputs.carried else None
+    if kept is None:
+        kept = BALANCE.aggregate(BALANCE.rows(ledger_window(inputs.ledger, None, run.back(1))))
+    return kept.withColumns({"facility_name": F.nullif("facility_name", F.lit(NO_FACILITY)), "opening": F.col("opening").cast("double")})
 
 
 def complete02(inputs: Inputs, run: Run, opening: DataFrame | None = None) -> DataFrame:
     """Movements of the run day that leave on-hand below zero.
 
-    Only the run day's rows are put in order; history enters as an opening balance, which a nightly
-    job can carry forward instead of summing it again."""
+    Only the run day's rows are put in order; history enters as an opening balance, which the job
+    carries forward from run to run."""
     today = ledger_day(inputs.ledger, run.day).filter(F.col("consumable_sku").isNotNull()).select(
         "id", "facility_name", "facility_type", "system_of_origin", "consumable_sku", "datetime_utc", "consumable_quantity_change")
-    opening = opening_balance(inputs.ledger, run) if opening is None else opening
+    opening = opening_balance(inputs, run) if opening is None else opening
     stepped = running_sum(today, ["facility_name", "consumable_sku"], ["datetime_utc", "id"], "consumable_quantity_change", "_today")
     s, o = stepped.alias("s"), opening.alias("o")
     same = F.col("s.facility_name").eqNullSafe(F.col("o.facility_name")) & (F.col("s.consumable_sku") == F.col("o.consumable_sku"))

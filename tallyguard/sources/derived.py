@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyguard import schemas
 from tallyguard.session import shared_dir
+from tallyguard.sources.carried import Carried
 from tallyguard.sources import tables
 
 
@@ -28,6 +29,7 @@ class Inputs:
     catalog: DataFrame
     price: DataFrame
     dim: DataFrame
+    carried: Carried | None = None  # aggregates kept between runs; without them rules read the full history
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
