@@ -7,7 +7,8 @@ that they compare with another engine; times are shown as days or text.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from dataclasses import replace
+from datetime import date, datetime, timedelta
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +23,10 @@ from tallyguard.session import checkpoint, shared_dir
 from tallyguard.settings import RESULT_CAP, ZERO_COST_CAP, Run, Settings
 from tallyguard.sources import derived_history as hist
 from tallyguard.sources import tables
+from tallyguard.sources.carried import BALANCE, LEGS, TRANSIT, Carried, Kept
 from tallyguard.sources.config_tables import load_config
 from tallyguard.sources.derived import Inputs, staged
+from tallyguard.sources.settings_store import SettingsStore
 from tallyguard.sources.state_store import StateStore
 from tallyguard.sources.tickets import ticket_actions
 
@@ -40,8 +43,11 @@ SWEEP = Settings(
 )
 ORDER_RUN = Run(ORDER_DAY, True, SWEEP)
 EVENT_RUN = Run(EVENT_DAY, True, SWEEP)
-DAILY_RUN = Run(date(1998, 6, 15), False, Settings())
+DAILY_RUN = Run(date(1995, 10, 19), False, Settings())
 TODAY = date(2024, 1, 31)
+AGING_DAY = date(1998, 6, 30)  # the generic ledger ends some years before the sweep's day
+# the days a kept aggregate is moved to, one after the other
+LEG_DAYS = [date(1994, 5, 1), date(1997, 12, 31), ORDER_DAY]
 SF_SMALL = "/root/testdata/sf0.001"
 
 
@@ -66,6 +72,18 @@ def _rule(rule_id: str, run: Run, columns: Callable[[], list]) -> Query:
     return query
 
 
+def _carried(rule_id: str, run: Run, steps: list[date], kept: list[Kept], columns: Callable[[], list]) -> Query:
+    """A rule from aggregates that were kept and moved forward day by day span, instead of from the full history."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        inputs = replace(staged(spark, sf_dir), carried=Carried(spark, f"{shared_dir(spark)}/carried-{uuid4().hex}"))
+        for day in steps:
+            for one in kept:
+                inputs.carried.advance(one, inputs.ledger, day)
+        df = findings.offenders(rule_id, inputs, run, load_config(spark))
+        return df.select("entity_key", "error_type", "severity", "breached_at", *columns())
+    return query
+
+
 def _facility_days(adjust: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         inputs, config = staged(spark, sf_dir), load_config(spark)
@@ -308,6 +326,34 @@ def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.actions.groupBy("action").agg(F.count(F.lit(1)).alias("actions"), F.count_distinct("pk").alias("tickets")).select("action", whole("actions"), whole("tickets"))
 
 
+SETTINGS_DAYS = [date(2024, 1, 1), date(2024, 2, 1)]
+
+
+def _settings_store(spark: SparkSession, sf_dir: str) -> SettingsStore:
+    """Limits per nation and market segment, and a later version of them with some raised, some removed and some added."""
+    seen = hist._read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = seen.select(F.lit("WASTE_DAILY_FACILITY").alias("error_type"), F.upper(F.concat_ws("-", F.lit("N"), "c_nationkey", "c_mktsegment")).alias("facility_type"),
+                       c("n").alias("high"), (c("n") * 2).alias("urgent"), c("c_nationkey").alias("nation"))
+    store = SettingsStore(spark, f"{shared_dir(spark)}/settings-{uuid4().hex}")
+    first = store.commit("bands", rows.filter("nation % 5 != 0"), 0, SETTINGS_DAYS[0], "console", datetime(2024, 1, 1))
+    later = rows.filter("nation % 7 != 0").withColumn("high", F.when(c("nation") % 3 == 0, c("high") + 1).otherwise(c("high")))
+    store.commit("bands", later, first.number, SETTINGS_DAYS[1], "console", datetime(2024, 1, 20))
+    return store
+
+
+def _settings_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limits in force on the day before the change and on the day of it, as a run loads them."""
+    store = _settings_store(spark, sf_dir)
+    days = [store.load(day)[0].bands.withColumn("as_of", F.lit(day)) for day in (TODAY, SETTINGS_DAYS[1])]
+    return days[0].unionByName(days[1]).filter(c("facility_type").startswith("N-")).select("as_of", "facility_type", num("high"), num("urgent"))
+
+
+def _settings_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = _settings_store(spark, sf_dir).audit("bands")
+    return audit.select("entity_id", F.to_date("at").alias("on_day"), F.get_json_object("before", "$.high").cast("double").alias("before_high"),
+                        F.get_json_object("after", "$.high").cast("double").alias("after_high"))
+
+
 def _settings_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two versions of a limit table, one row per (supplier, part type) and (supplier, part size)."""
     line = hist._read(spark, sf_dir, "lineitem")
@@ -415,6 +461,12 @@ QUERIES: dict[str, Query] = {
     "xfer07": _rule("XFER-07", ORDER_RUN, lambda: ["facility", "system", "first_pick", whole("days_since_pick")]),
     "twh01": _rule("TWH-01", ORDER_RUN, lambda: ["transfer_order", "base_sku", num("transit_in"), num("transit_out"), "failure_mode", "last_activity"]),
     "complete02": _rule("COMPLETE-02", Run(ON_HAND_DAY), lambda: ["id", "facility", "consumable_sku", num("consumable_quantity_change"), num("running_on_hand")]),
+    "carried_xfer07": _carried("XFER-07", ORDER_RUN, LEG_DAYS, [LEGS], lambda: ["facility", "system", "first_pick", whole("days_since_pick")]),
+    "carried_xfer04": _carried("XFER-04", ORDER_RUN, LEG_DAYS, [LEGS], lambda: ["facility", "system", "to_status", "order_date", whole("days_since_order")]),
+    "carried_twh01": _carried("TWH-01", ORDER_RUN, LEG_DAYS, [TRANSIT], lambda: [
+        "transfer_order", "base_sku", num("transit_in"), num("transit_out"), "failure_mode", "last_activity"]),
+    "carried_complete02": _carried("COMPLETE-02", Run(ON_HAND_DAY), [date(1997, 3, 1), date(2024, 1, 11), ON_HAND_DAY - timedelta(days=1)], [BALANCE],
+                                   lambda: ["id", "facility", "consumable_sku", num("consumable_quantity_change"), num("running_on_hand")]),
     "standard_cost": _standard_cost,
     "waste_daily": _facility_days(False),
     "adj_daily": _facility_days(True),
@@ -432,7 +484,7 @@ QUERIES: dict[str, Query] = {
     "prim_over_receipt": _primitive(lambda led, po: prim.over_receipt(led, po, 0.30, 1.00),
                                     lambda: ["entity_key", "severity", num("ordered_qty"), num("received_qty"), num("over_by_pct")]),
     "prim_recon_transfer": _primitive(lambda led, po: prim.recon_transfer(led, "FAC-5"), lambda: ["txn_id", "entity_key", num("variance_qty")]),
-    "prim_aging": _primitive(lambda led, po: prim.aging(led, "txn_date", ORDER_DAY, 3, 400), lambda: ["txn_id", "breached_at", whole("age_days")]),
+    "prim_aging": _primitive(lambda led, po: prim.aging(led, "txn_date", AGING_DAY, 3, 400), lambda: ["txn_id", "breached_at", whole("age_days")]),
     # rechecks
     "recheck_po03": _recheck("PO-03", "PO_OVER_RECEIPT", lambda i: receipts(i).filter(c("ims_sku").isNotNull()), ["po", "ims_sku"]),
     "recheck_po09": _recheck("PO-09", "PO_MISSING_PRICE", purchases, ["po", "supplier_sku"]),
@@ -469,6 +521,7 @@ QUERIES: dict[str, Query] = {
     "action_replay": _action_replay,
     "table_diff": _table_diff,
     "insert_missing": _insert_missing,
+    "settings_state": _settings_state, "settings_audit": _settings_audit,
     # drill-down and reports
     "breakdown_order": _breakdown_order,
     "dup_suspected": _dup_suspected,

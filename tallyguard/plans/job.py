@@ -14,10 +14,11 @@ from tallyguard.plans import lifecycle as life
 from tallyguard.plans.rechecks import RETRO_TYPES, recheck_all
 from tallyguard.session import checkpoint
 from tallyguard.settings import DEFAULT_RETENTION_DAYS, Run
+from tallyguard.sources.carried import BALANCE, LEGS, TRANSIT
 from tallyguard.sources.config_tables import Config
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.state_store import StateStore
-from tallyguard.sources.tickets import ticket_actions
+from tallyguard.sources.tickets import deliver, pending_actions, ticket_actions
 
 
 @dataclass(frozen=True)
@@ -76,18 +77,31 @@ def apply_actions(store: StateStore, actions: DataFrame, day: date) -> RunResult
     return commit_step(store, life.replay_actions(store.state(), actions), day, "console")
 
 
+def deliver_outbox(store: StateStore, send: Callable[[dict], None]) -> DataFrame:
+    """Send every stored ticket action that no earlier attempt delivered, and record the outcome of each."""
+    return store.record_delivery(deliver(pending_actions(store.all_actions(), store.deliveries()), send))
+
+
 def stamp_closed(store: StateStore, inputs: Inputs, run: Run, config: Config) -> RunResult:
     """Store the resolutions that closed findings can be given after the fact."""
     nothing = store.log("ticket_event").limit(0), store.log("audit_log").limit(0)
     return commit_step(store, life.Step(retro_stamp(store, inputs, run, config), *nothing), run.day, "retro")
 
 
+def carry(inputs: Inputs, run: Run) -> None:
+    """Bring the kept aggregates to the run: transfer legs up to its day, balances up to the day before."""
+    for kept, day in ((LEGS, run.day), (TRANSIT, run.day), (BALANCE, run.back(1))):
+        inputs.carried.advance(kept, inputs.ledger, day)
+
+
 def run_validation(spark: SparkSession, store: StateStore, inputs: Inputs, run: Run, config: Config,
                    rules: list[str] | None = None, retention_days: int = DEFAULT_RETENTION_DAYS) -> RunResult:
     """Detect, deduplicate, route, open or refresh, recheck open findings, close, log.
 
     All findings are written once and all of them enter state; ``reported`` trims a list for display."""
     ids = book.enabled_rules(config) if rules is None else rules
+    if inputs.carried:
+        carry(inputs, run)
     everything = store.write_findings(book.find_all(inputs, run, config, ids), store.last_version() + 1)
     found = checkpoint(life.dedup_findings(everything, ids))
     considered = everything.agg(F.count(F.lit(1))).scalar()
@@ -100,7 +114,10 @@ def run_validation(spark: SparkSession, store: StateStore, inputs: Inputs, run:
 
 def reported(store: StateStore, run: Run) -> DataFrame:
     """The display list of the last run: each rule's first findings per band, where the settings cap them."""
-    return book.cap_findings(store.findings(store.last_version()), run)
+    last = store.runs().agg(F.max("run_id")).first()[0]  # other steps commit versions too, without findings
+    if last is None:
+        raise ValueError("no validation run is stored")
+    return book.cap_findings(store.findings(last), run)
 
 
 def run_on_partition(spark: SparkSession, store: StateStore, findings: DataFrame, scanned: Column, run: Run, config: Config,

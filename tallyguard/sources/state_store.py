@@ -6,10 +6,13 @@ the newest logged version, so a half-written run is never seen and a retry never
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard import schemas
+from tallyguard.sources.tickets import DELIVERY
 
 LOGS = {"ticket_event": schemas.EVENT, "audit_log": schemas.AUDIT, "outbox": schemas.OUTBOX, "validation_run": schemas.RUN_LOG}
 
@@ -48,6 +51,24 @@ class StateStore:
         return self._read("outbox", f"{schemas.OUTBOX}", None) if version == 0 else self.spark.read.schema(schemas.OUTBOX).parquet(
             f"{self.root}/outbox/version={version}")
 
+    def all_actions(self) -> DataFrame:
+        """The ticket actions of every committed version, with the version."""
+        path, last = f"{self.root}/outbox", self.last_version()
+        if not self._exists(path):
+            return self.spark.createDataFrame([], f"{schemas.OUTBOX}, version int")
+        return self.spark.read.schema(f"{schemas.OUTBOX}, version int").parquet(path).filter(F.col("version") <= last)
+
+    def deliveries(self) -> DataFrame:
+        """What became of the actions, over all finished attempts."""
+        path = f"{self.root}/delivery"
+        return self.spark.read.schema(DELIVERY).option("recursiveFileLookup", "true").parquet(path) if self._exists(path) else self.spark.createDataFrame([], DELIVERY)
+
+    def record_delivery(self, df: DataFrame) -> DataFrame:
+        """Write one attempt's outcome; only a finished write is read by the next attempt."""
+        path = f"{self.root}/delivery/attempt-{uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(DELIVERY).parquet(path)
+
     def findings(self, version: int) -> DataFrame:
         """All findings of one run, as written."""
         return self.spark.read.parquet(f"{self.root}/findings/version={version}")

@@ -236,6 +236,16 @@ def test_caps_trim_the_report_and_never_state(spark, tmp_path):
     assert done.actions.groupBy("action").count().collect() == [("create", 7)] and store.outbox(done.version).count() == 7
 
 
+def test_the_report_is_that_of_the_last_validation_run(spark, tmp_path):
+    store, data = StateStore(spark, str(tmp_path)), inputs(spark, [], [{"po": None}])
+    run, config = Run(DAY, True), load_config(spark)
+    with pytest.raises(ValueError):
+        job.reported(store, run)
+    job.run_validation(spark, store, data, run, config, ["PO-13"])
+    job.stamp_closed(store, data, run, config)  # a version without findings
+    assert job.reported(store, run).count() == 1
+
+
 def test_every_rule_can_be_switched_on(spark):
     config = load_config(spark)
     every = replace(config, rules=config.rules.withColumn("enabled", F.lit(True)))
