@@ -30,6 +30,40 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     return joined.select(*[F.col(f"r.{c}") for c in df.columns], total.alias(out))
 
 
+def running_sum_of_day(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Running total per key over rows of a single day: the slice of ``running_sum``, so one window and no join."""
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.sum(F.col(value).cast(AMOUNT)).over(inside).cast("double"))
+
+
+def first_crossing(df: DataFrame, keys: list[str], order: list[str], value: str, limit: Column, out: str) -> DataFrame:
+    """Per key the first time stamp (``order[0]``) at which the running total of ``value`` exceeds ``limit``; keys that never do have no row.
+
+    Day totals say where that can be: inside a day the total never rises above the days before plus the day's positive amounts, and it
+    is certain by the end of the first day that ends above the limit. Only the rows of days in between are put in order, as a rule one
+    day per key; the others are summed with map-side combine. ``limit`` must be the same on all rows of a key."""
+    when, amount, day = F.col(order[0]), F.col(value).cast(AMOUNT), F.to_date(F.col(order[0]))
+    rows = df.select(*keys, *order, amount.alias("_amount"), day.alias("_day"), limit.cast("double").alias("_limit"))
+    totals = rows.groupBy(*keys, "_day").agg(
+        F.sum("_amount").alias("_total"), F.sum(F.when(F.col("_amount") > 0, F.col("_amount"))).alias("_rise"), F.max("_limit").alias("_limit"))
+    by_day = Window.partitionBy(*keys).orderBy("_day")
+    zero = F.lit(0).cast(AMOUNT)
+    before = F.coalesce(F.sum("_total").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    days = totals.withColumn("_before", before).withColumns({
+        "_possible": (F.col("_before") + F.coalesce("_rise", zero)).cast("double") > F.col("_limit"),
+        "_ends_above": (F.col("_before") + F.coalesce("_total", zero)).cast("double") > F.col("_limit")})
+    # days after the first one that ends above cannot hold the first crossing
+    settled = F.coalesce(F.max(F.when(F.col("_ends_above"), 1)).over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("_settled", settled).filter(F.col("_possible") & (F.col("_settled") == 0)).select(*keys, "_day", "_before")
+    same = F.col("r._day").eqNullSafe(F.col("d._day"))
+    for k in keys:
+        same = same & (F.col(f"r.{k}") == F.col(f"d.{k}"))
+    searched = rows.alias("r").join(days.alias("d"), same).select(*[F.col(f"r.{k}").alias(k) for k in keys], "r._day", *[F.col(f"r.{o}").alias(o) for o in order], "r._amount", "r._limit", "d._before")
+    inside = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = (F.col("_before") + F.sum("_amount").over(inside)).cast("double")
+    return searched.withColumn("_at", total).filter(F.col("_at") > F.col("_limit")).groupBy(*keys).agg(F.min(when).alias(out))
+
+
 def capped(df: DataFrame, order: list[Column], cap: int | None, band: Column | None = None) -> DataFrame:
     """The first ``cap`` rows by ``order`` (a total order), overall or per band.
 

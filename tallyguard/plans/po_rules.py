@@ -9,7 +9,7 @@ from tallyguard.functions.columns import (
     contains_word, entity_key, is_blank, is_receipt, movement, over_fraction, status_in, units_differ,
 )
 from tallyguard.operators.joins import described
-from tallyguard.operators.windows import running_sum
+from tallyguard.operators.windows import first_crossing
 from tallyguard.session import stored
 from tallyguard.settings import PO_TERMINAL_STATES, Run
 from tallyguard.sources.derived import Inputs
@@ -168,14 +168,19 @@ def po02(inputs: Inputs, run: Run) -> DataFrame:
     )
 
 
+def unit_range(unit: str, low: str, high: str) -> list[Column]:
+    """Smallest and largest hash of the units of a group: numbers, so the aggregate hashes; they differ where the group holds two units."""
+    code = F.when(c(unit).isNotNull(), F.xxhash64(unit))
+    return [F.min(code).alias(low), F.max(code).alias(high)]
+
+
 def ordered_pairs(orders: DataFrame) -> DataFrame:
     """Per (purchase order, shared SKU): ordered in both units and the order book's own receipts."""
     return (
-        orders_of(orders, "Purchase").filter(c("ims_sku").isNotNull()).groupBy("po", "ims_sku")
+        orders_of(orders, "Purchase").filter(c("ims_sku").isNotNull() & c("po").isNotNull()).groupBy("po", "ims_sku")
         .agg(
             F.sum("ims_sku_qty").alias("ordered_pkg"), F.sum("consumable_sku_qty").alias("ordered_base"),
-            F.sum("received_qty").alias("po_received"),
-            *one_of(ordered_uom="consumable_uom", ims_uom="ims_uom", supplier="supplier_name", status="status"),
+            F.sum("received_qty").alias("po_received"), *unit_range("consumable_uom", "o_low", "o_high"),
         )
     )
 
@@ -187,10 +192,11 @@ def is_over(received: Column, ordered: Column, high: float) -> Column:
 def po03(inputs: Inputs, run: Run) -> DataFrame:
     """Over-receipt, measured by the order book's receipts and by the ledger, or units that differ.
 
-    Pass one nets the ledger per (order, SKU) with map-side combine and keeps the offenders; a daily run
-    narrows the netted pairs to those touched today, on the partitioning they already have. Only the
-    offenders' own ledger rows, found by joining with the written offender set, go through the ordered
-    running total that dates the breach."""
+    Pass one reads numbers alone: it nets the ledger per (order, SKU) in hash maps with map-side combine and keeps
+    candidates, that is pairs over their limit or with more than one unit; a daily run narrows the netted pairs to those touched
+    today, on the partitioning they already have. Texts are read for the candidates, whose units are then compared
+    exactly. Only their own ledger rows, found by joining with the written candidates, are searched for the
+    first crossing that dates the breach, and of those only the days on which it can lie are put in order."""
     s = run.settings
     pair = ["po", "ims_sku"]
     lookback = s.backfill_lookback if run.backfill else s.receipt_lookback
@@ -201,46 +207,37 @@ def po03(inputs: Inputs, run: Run) -> DataFrame:
         ).withColumnRenamed("ref_order_id", "po")
 
     rows = movements(ledger_window(inputs.ledger, run.back(lookback), run.day))
-    received = rows.groupBy(*pair).agg(
-        F.sum("ims_quantity_change").alias("led_received"), F.min("consumable_uom").alias("received_uom"))
+    received = rows.groupBy(*pair).agg(F.sum("ims_quantity_change").alias("led_received"), *unit_range("consumable_uom", "l_low", "l_high"))
     if not run.backfill:
         received = received.join(movements(ledger_day(inputs.ledger, run.day)).select(*pair).distinct(), pair, "left_semi")
-    po_over = is_over(c("po_received"), c("ordered_pkg"), s.over_high)
-    led_over = is_over(c("led_received"), c("ordered_base"), s.over_high)
-    mismatch = units_differ(c("ordered_uom"), c("received_uom"))
-    offenders = stored(received.join(ordered_pairs(inputs.orders), pair).filter(
-        ((c("ordered_pkg") > 0) | (c("ordered_base") > 0)) & (mismatch | po_over | led_over)
-    ))
-    facts = [x for x in offenders.columns if x not in pair]
-    theirs = rows.select(
+    over = is_over(c("po_received"), c("ordered_pkg"), s.over_high) | is_over(c("led_received"), c("ordered_base"), s.over_high)
+    two_units = F.least("o_low", "l_low") != F.greatest("o_high", "l_high")
+    candidates = stored(received.join(ordered_pairs(inputs.orders), pair).filter(
+        ((c("ordered_pkg") > 0) | (c("ordered_base") > 0)) & (over | two_units)).drop("o_low", "o_high", "l_low", "l_high"))
+    book = orders_of(inputs.orders, "Purchase").join(candidates.select(*pair), pair, "left_semi").groupBy(*pair).agg(
+        *one_of(ordered_uom="consumable_uom", ims_uom="ims_uom", supplier="supplier_name", status="status"))
+    facts = stored(candidates.join(book, pair))
+    theirs = stored(rows.select(
         *pair, "id", "datetime_utc", "l1_action", "l2_action", "consumable_sku", "item_name", "facility_name", "facility_type",
         "system_of_origin", "consumable_uom", "consumable_quantity_change", "ims_quantity_change",
-    ).join(offenders, pair)
-    stepped = running_sum(theirs, pair, ["datetime_utc", "id"], "consumable_quantity_change", "running")
+    ).join(facts.select(*pair, "ordered_base", "ordered_uom"), pair))
+    crossed = first_crossing(theirs, pair, ["datetime_utc", "id"], "consumable_quantity_change", c("ordered_base") * (1 + s.over_high), "over_at")
     change, when = c("consumable_quantity_change"), c("datetime_utc")
-    by_quantity = (
-        stepped.withColumn("_qty", F.round(change, 4)).groupBy(*pair, "_qty")
-        .agg(
-            F.count_if((c("l1_action") == "Add") & (change > 0)).alias("same_qty"),
-            F.min(F.when(c("running") > c("ordered_base") * (1 + s.over_high), when)).alias("over_at"),
-            F.min(F.when(units_differ(c("ordered_uom"), c("consumable_uom")), when)).alias("uom_at"),
-            F.min(when).alias("first_at"), F.max(when).alias("last_at"),
-            *one_of(consumable_sku="consumable_sku", item_name="item_name", facility="facility_name",
-                    facility_type="facility_type", system="system_of_origin"),
-            F.max_by(F.struct("l1_action", "l2_action"), F.struct("ims_quantity_change", "datetime_utc", "id")).alias("move"),
-            F.max(F.struct("ims_quantity_change", "datetime_utc", "id")).alias("move_rank"),
-            *[F.any_value(c).alias(c) for c in facts],
-        )
-    )
-    merged = by_quantity.groupBy(*pair).agg(
-        F.max("same_qty").alias("dup_receipts"),
-        *[F.to_date(F.min(f"{c}_at")).alias(n) for c, n in
-          [("over", "over_breach_date"), ("uom", "uom_breach_date"), ("first", "first_receipt_date")]],
-        F.to_date(F.max("last_at")).alias("last_receipt_date"),
-        *[F.min(c).alias(c) for c in ("consumable_sku", "item_name", "facility", "facility_type", "system")],
-        F.max_by("move", "move_rank").alias("move"),
-        *[F.any_value(c).alias(c) for c in facts],
+    same_quantity = (
+        theirs.groupBy(*pair, F.round(change, 4).alias("_qty")).agg(F.count_if((c("l1_action") == "Add") & (change > 0)).alias("same_qty"))
+        .groupBy(*pair).agg(F.max("same_qty").alias("dup_receipts"))
     )
+    merged = theirs.groupBy(*pair).agg(
+        F.to_date(F.min(F.when(units_differ(c("ordered_uom"), c("consumable_uom")), when))).alias("uom_breach_date"),
+        F.to_date(F.min(when)).alias("first_receipt_date"), F.to_date(F.max(when)).alias("last_receipt_date"),
+        *one_of(consumable_sku="consumable_sku", item_name="item_name", facility="facility_name", facility_type="facility_type",
+                system="system_of_origin", received_uom="consumable_uom"),
+        F.max_by(F.struct("l1_action", "l2_action"), F.struct("ims_quantity_change", "datetime_utc", "id")).alias("move"),
+    ).join(same_quantity, pair).join(facts, pair).join(crossed, pair, "left").withColumn("over_breach_date", F.to_date("over_at")).drop("over_at")
+    po_over = is_over(c("po_received"), c("ordered_pkg"), s.over_high)
+    led_over = is_over(c("led_received"), c("ordered_base"), s.over_high)
+    mismatch = units_differ(c("ordered_uom"), c("received_uom"))
+    merged = merged.filter(po_over | led_over | mismatch)
     po_frac = over_fraction(c("po_received"), c("ordered_pkg"))
     led_frac = over_fraction(c("led_received"), c("ordered_base"))
     any_over = F.coalesce(c("po_over"), F.lit(False)) | F.coalesce(c("led_over"), F.lit(False))

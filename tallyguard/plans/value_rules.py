@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.functions.columns import contributors_text, entity_key, shown
-from tallyguard.operators.windows import running_sum
+from tallyguard.operators.windows import running_sum_of_day
 from tallyguard.plans.po_rules import one_of
 from tallyguard.settings import DEFAULT_BAND, NON_ADJUSTMENT_ACTIONS, Run
 from tallyguard.sources.config_tables import Config
@@ -179,7 +179,7 @@ def complete02(inputs: Inputs, run: Run, opening: DataFrame | None = None) -> Da
     today = ledger_day(inputs.ledger, run.day).filter(F.col("consumable_sku").isNotNull()).select(
         "id", "facility_name", "facility_type", "system_of_origin", "consumable_sku", "datetime_utc", "consumable_quantity_change")
     opening = opening_balance(inputs, run) if opening is None else opening
-    stepped = running_sum(today, ["facility_name", "consumable_sku"], ["datetime_utc", "id"], "consumable_quantity_change", "_today")
+    stepped = running_sum_of_day(today, ["facility_name", "consumable_sku"], ["datetime_utc", "id"], "consumable_quantity_change", "_today")
     s, o = stepped.alias("s"), opening.alias("o")
     same = F.col("s.facility_name").eqNullSafe(F.col("o.facility_name")) & (F.col("s.consumable_sku") == F.col("o.consumable_sku"))
     balance = F.round(F.coalesce("o.opening", F.lit(0.0)) + F.col("s._today"), 6)
