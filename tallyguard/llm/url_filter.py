@@ -2,13 +2,15 @@
 
 Trust is a personalised PageRank from hosts with allowed pages, along links. Distrust is the reverse: from hosts with blocked
 pages it runs against the links, to those who link there. Both are bounded per host by one, so the threshold means the
-same in a small graph and in a large one. Links inside one host carry nothing. Everything is grouping and joining:
+same in a small graph and in a large one. The threshold is set on what a full seed passes on in one step: a host is blocked
+when its distrust reaches half of that (half of its links go to blocked hosts, or more of them to hosts that link there) and is
+above its trust. Links inside one host carry nothing. Everything is grouping and joining:
 one edge row per pair of hosts with the number of links, partial counts before each shuffle, a fixed number of rounds.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed (no host speaks
 against it); null html has no links; repeated rows count as further pages of their host and each gets its verdict; equally
 long rules cannot both fit, as they differ in host and are then suffixes of one another; extra columns are ignored; an empty
-table gives an empty result; a null page id is carried through.
+table gives an empty result; a null page id is carried through; a very long url or page is read whole.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from tallyguard.llm.common import LOWER, UPPER, ascii_lower, staged
 
 # fixed values: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, CUTOFF = 0.85, 8, 0.2
+DAMPING, ROUNDS = 0.85, 8
+SHARE, SLACK = 0.5, 1e-9  # the part of a full seed's one step that blocks; sums in another order differ by less than the slack
+CUTOFF = SHARE * DAMPING * (1 - DAMPING) - SLACK
 HOST, PATH = "://([^/?#]*)", "://[^/?#]*([^?#]*)"
-# the SQL twin reads absolute links in lower case; TARGET, the host of a link, takes either case and //host links too
-LINK = r"""href\s*=\s*["']?(https?://[^"'\s>]*)"""
-TARGET = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]*)"""
+# the host of an absolute link, in either case, or of one that starts with //
+TARGET = r"""[hH][rR][eE][fF][\x20\x09-\x0D]*=[\x20\x09-\x0D]*["']?(?:[hH][tT][tT][pP][sS]?:)?//([^/?#"'>\x20\x09-\x0D]*)"""
 
 
 def host_of(url: Column) -> Column:
@@ -81,7 +84,7 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     base = pages.select(pages[page_id].alias(page_id), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), pages[html].alias("html"))
     rule, verdict = rule_of(c("host"), c("path"))
     ruled = base.withColumns({"rule": rule, "verdict": verdict})
-    blocked = host_scores(ruled, rounds).filter((c("distrust") >= CUTOFF) & (c("distrust") > c("trust"))).select("host", F.lit(True).alias("bad_host"))
+    blocked = host_scores(ruled, rounds).filter((c("distrust") >= CUTOFF) & (c("distrust") > c("trust") + SLACK)).select("host", F.lit(True).alias("bad_host"))
     return ruled.drop("html").join(blocked, "host", "left").select(
         page_id, "host", "path", "rule", F.coalesce("verdict", F.when(c("bad_host"), "block").otherwise("allow")).alias("verdict"))
 
@@ -98,21 +101,21 @@ def _sql(rounds: int = ROUNDS) -> str:
             out = f"CASE WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{start}') THEN '{value}' ELSE {out} END"
         return out
 
-    link = LINK.replace("'", "''")
+    target = TARGET.replace("'", "''")
     steps = "".join(f"""
 s{i} AS (SELECT host, good, bad, least(1.0, {1 - DAMPING!r} * good + {DAMPING} * coalesce((SELECT sum(p.trust * share) FROM e JOIN s{i - 1} p ON p.host = src WHERE dst = h.host), 0)) AS trust,
   least(1.0, {1 - DAMPING!r} * bad + {DAMPING} * coalesce((SELECT sum(p.distrust * share) FROM e JOIN s{i - 1} p ON p.host = dst WHERE src = h.host), 0)) AS distrust FROM s0 h),""" for i in range(1, rounds + 1))
     return f"""
 WITH b AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '{HOST}', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '{PATH}', 1), '') AS path FROM pages),
 r AS (SELECT *, {pick(0)} AS rule, {pick(1)} AS verdict FROM b),
-x AS (SELECT host AS src, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM b),
-y AS (SELECT src, translate(regexp_extract(link, '{HOST}', 1), '{UPPER}', '{LOWER}') AS dst FROM x),
+x AS (SELECT host AS src, unnest(regexp_extract_all(html, '{target}', 1)) AS target FROM b),
+y AS (SELECT src, translate(target, '{UPPER}', '{LOWER}') AS dst FROM x),
 p AS (SELECT src, dst, count(*) AS n FROM y WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
 e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM p),
 h AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS good, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS bad FROM r WHERE host <> '' GROUP BY host
   UNION ALL SELECT DISTINCT dst, 0.0, 0.0 FROM e WHERE dst NOT IN (SELECT host FROM b)),
 s0 AS (SELECT host, good, bad, {1 - DAMPING!r} * good AS trust, {1 - DAMPING!r} * bad AS distrust FROM h),{steps}
-v AS (SELECT host FROM s{rounds} WHERE distrust >= {CUTOFF} AND distrust > trust)
+v AS (SELECT host FROM s{rounds} WHERE distrust >= {CUTOFF} AND distrust > trust + {SLACK})
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM v) THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
 

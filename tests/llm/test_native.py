@@ -71,7 +71,7 @@ def test_url_rules_and_spread_of_distrust(spark):
     assert got[3][2:] == ("example.com/de/", "block") and got[4][2:] == ("org/fr/", "allow")
     assert got[5] == ("plain.io", "", None, "allow") and got[6] == ("", "", None, "allow") and got[7] == ("", "", None, "allow")
     assert got[8][2] is None and got[11][2:] == ("net/", "block")
-    assert got[9][2:] == (None, "allow") and got[10][3] == "allow"
+    assert got[9][2:] == (None, "block") and got[13][2:] == (None, "block") and got[10][3] == "allow"
     scores = {r.host: r for r in url_filter.host_scores(pages(spark, [(i, u, h, url, None, v) for i, u, h, url, v in [
         (1, "", link("b.net"), "a.io", None), (2, "", "", "b.net", "block"), (3, "", link("a.io"), "c.io", None)]])).collect()}
     assert scores["b.net"].distrust > scores["a.io"].distrust > scores["c.io"].distrust > 0 == scores["a.io"].trust
@@ -84,6 +84,25 @@ def test_links_in_either_case_and_without_scheme_are_edges(spark):
     assert {(r.src, r.dst): r.share for r in edges} == {("a.io", "up.io"): 0.25, ("a.io", "rel.io"): 0.5, ("a.io", "low.io"): 0.25}
 
 
+def test_a_host_is_blocked_from_half_of_its_links_on(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">' for h in hosts)
+    bad, good = [f"b{k}.net" for k in range(6)], [f"g{k}.io" for k in range(6)]
+    rows = [(k, f"http://{h}/", "", None, None, None) for k, h in enumerate(bad + good)]
+    rows += [(100 + k, f"http://s{k}.io/", link(*bad[:k], *good[k:]), None, None, None) for k in range(7)]
+    rows += [(200, "http://mixed.io/", link("b0.net", "fr.org", "g0.io"), None, None, None), (201, "http://fr.org/fr/", link("trusted.io"), None, None, None),
+             (202, "http://trusted.io/", link("b0.net", "b1.net"), None, None, None), (203, "http://two.io/", link("s6.io"), None, None, None),
+             (204, "http://case.io/", "<A HREF = '//B0.NET/x'> <a href=HTTPS://b1.net>", None, None, None)]
+    df = pages(spark, rows)
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df).collect()}
+    assert [got[100 + k] for k in range(7)] == ["allow"] * 3 + ["block"] * 4
+    # a third of mixed.io's links goes to a blocked host, a third to a host two steps before one: 0.85 * (0.15 + 0.85 * 0.85 * 0.15) / 3 > 0.0637
+    assert got[200] == "block" and got[203] == "block" and got[204] == "block"
+    assert got[202] == "allow"  # all its links are bad, but a trusted host vouches for it as strongly
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url", "html").toPandas())
+    assert {r[0]: r[4] for r in con.execute(url_filter.OP7_SQL).fetchall()} == got
+
+
 def test_url_sql_with_links(spark):
     link = lambda *hosts: "".join(f"<a href='https://{h}/x'>" for h in hosts)
     rows = [(i, f"http://h{i % 7}.{'net' if i % 7 < 2 else 'io'}/p{i}", link(f"h{(i * 3) % 7}.io", "h0.net", "h1.net"), None, None, None) for i in range(40)]
