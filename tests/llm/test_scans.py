@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -44,6 +45,19 @@ def test_lexer_follows_assignments(text, values):
     assert [text[s:e] for s, k, e in secret_scan.find_spans(text) if k == 3] == values
 
 
+@pytest.mark.parametrize("text, values", [
+    ('cfg["client_key"] = "q8Wn3ZpL0sVt"', ["q8Wn3ZpL0sVt"]), ('db_pwd = ("q8Wn3ZpL0sVt")', ["q8Wn3ZpL0sVt"]), ('db_pwd = """q8Wn3ZpL0sVt"""', ["q8Wn3ZpL0sVt"]),
+    ("db_pwd = \'\'\'q8Wn\n3ZpL0sVt\'\'\'", ["q8Wn\n3ZpL0sVt"]), ("app:\n  privateKey: |\n    q8Wn3ZpL0sVt\n    Zx81kfQ09aLm  \n  port: 80", ["q8Wn3ZpL0sVt", "Zx81kfQ09aLm"]),
+    ("- privateKey: >-\n    q8Wn3ZpL0sVt", ["q8Wn3ZpL0sVt"]), ("<db_pwd> q8Wn3ZpL0sVt </db_pwd>", ["q8Wn3ZpL0sVt"]), ("<a>q8Wn3ZpL0sVt</a><pwd>x</b>", []),
+    ('db_pwd = base\nbase = "q8Wn3ZpL0sVt"', ["q8Wn3ZpL0sVt"]), ('# base = "Zx81kfQ09aLm"\nbase = "q8Wn3ZpL0sVt"\ndb_pwd = base', ["q8Wn3ZpL0sVt"]),
+    ('base = "q8Wn3ZpL0sVt"\n// base = "none"\ndb_pwd = base', ["q8Wn3ZpL0sVt"]), ('# db_pwd = "q8Wn3ZpL0sVt"', ["q8Wn3ZpL0sVt"]),
+    ('db_pwd: str = "q8Wn3ZpL0sVt"', ["q8Wn3ZpL0sVt"]), ('db_pwd = decode(bytes("q8Wn3ZpL0sVt"))', ["q8Wn3ZpL0sVt"]), ('db_pwd = os.getenv("PROD_V1_NAME")', []),
+    ('db_pwd = ("q8Wn" "3ZpL0sVt")', ["q8Wn", "3ZpL0sVt"]), ('"db_pwd": "q8Wn3ZpL0sVt" "monkey": "Zx81kfQ09aLm"', ["q8Wn3ZpL0sVt"]), ('db_pwd = "q8Wn\\"3ZpL0sVt"', ['q8Wn\\"3ZpL0sVt']),
+    ("db_pwd = db_pwd + db_pwd", []), ("a = b\nb = a\ndb_pwd = a + 'q8Wn3ZpL0sVt'", ["q8Wn3ZpL0sVt"]), ("db_pwd = db_pwd1 + 'x9'\ndb_pwd1 = db_pwd + 'q8Wn3ZpL0sVt'", ["x9", "q8Wn3ZpL0sVt"])])
+def test_lexer_reads_syntax(text, values):
+    assert [text[s:e] for s, k, e in secret_scan.find_spans(text) if k == 3] == values
+
+
 @pytest.mark.parametrize("name", ["pass_phrase", "PASS_PHRASE", "pass_word", "passPhrase", "client_access", "private_client", "api_access", "signing.client"])
 def test_a_name_that_scores_needs_no_other_word_in_the_text(name):
     text = f'{name} = "q8Wn3ZpL0sVt"'
@@ -66,6 +80,58 @@ def test_every_span_of_the_lexer_is_found_whatever_the_name():
     assert found > 1000
 
 
+def test_generated_programs_against_their_known_values():
+    """Programs built from values: the places that reach a sensitive name are known by construction."""
+    rng, total = random.Random(12), 0
+    for _ in range(400):
+        lines, holds, at, want = [], {}, 0, set()  # holds: name -> (value, places)
+        for k in range(rng.randrange(2, 14)):
+            value, places, shown = "", [], []
+            name = rng.choice(["a", "b", "c", "user_pwd", "client_key", "note"])
+            quote = rng.choice(['"', "'", '"""'])
+            left, middle = rng.choice([(f"{name} = ", ""), (f"{name} := ", ""), (f"cfg['{name}'] = ", ""), (f"{name} = ", "("), (f"self.x = 1; {name}=", "f(")])
+            for _ in range(rng.randrange(1, 4)):
+                if holds and rng.random() < 0.5:
+                    other = rng.choice(sorted(holds))
+                    value, places = value + holds[other][0], places + holds[other][1]
+                    shown.append(other)
+                else:
+                    literal = rng.choice(["q8Wn3ZpL0sVt", "plain", "Zx81kfQ09aLm", "x1"])
+                    places.append((at + len(left + middle) + len(" + ".join([*shown, ""])) + len(quote), len(literal)))
+                    value += literal
+                    shown.append(quote + literal + quote)
+            line = left + middle + " + ".join(shown) + (")" if middle else "")
+            places = [(s, n) for s, n in places]
+            # a name's literals begin where they were written
+            holds[name] = (value[:secret_scan.SCORED], places)
+            if secret_scan.name_score(name) and secret_scan.name_score(name) + secret_scan.literal_score(value[:secret_scan.SCORED]) >= secret_scan.THRESHOLD:
+                want |= {(s, s + n) for s, n in places}
+            lines.append(line)
+            at += len(line) + 1
+        text = "\n".join(lines)
+        assert secret_scan.lexed(text) == want, text
+        total += len(want)
+    assert total > 500
+
+
+@pytest.mark.parametrize("name", ["a", "db_pwd"])
+def test_values_joined_over_and_over_take_work_in_proportion(name):
+    text = f'{name} = "q8Wn3ZpL0sVt"\n' + f"{name} = {name} + {name}\n" * 10_000 + f"user_pwd = {name}\n"
+    begin = time.perf_counter()
+    assert secret_scan.lexed(text) == {(len(name) + 4, len(name) + 16)}
+    assert time.perf_counter() - begin < 5
+    back = "".join(f"n{k} = n{k + 1}\n" for k in range(10_000)) + 'n10000 = "q8Wn3ZpL0sVt"\ndb_pwd = n0'
+    assert [back[s:e] for s, e in secret_scan.lexed(back)] == ["q8Wn3ZpL0sVt"]
+
+
+def test_places_outside_of_spans():
+    rng = random.Random(3)
+    for _ in range(300):
+        places = {(s, s + rng.randrange(1, 9)) for s in (rng.randrange(40) for _ in range(6))}
+        spans = [(s, 0, s + rng.randrange(1, 15)) for s in (rng.randrange(40) for _ in range(4))]
+        assert set(secret_scan.outside(places, spans)) == {(a, b) for a, b in places if not any(s <= a and b <= e for s, _, e in spans)}
+
+
 def test_secret_query_columns_and_redaction(spark):
     rows = [*texts(), *((100 + k, t) for k, t in enumerate(SECRETS)), (None, SECRETS[0]), (200, 'x = "Zx81kfQ09aLm"\ndb_password_hash = x')]
     df = table(spark, rows)
