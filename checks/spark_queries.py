@@ -224,9 +224,9 @@ def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, lifecycle.St
     return before, lifecycle.upsert(before, _seen(spark, sf_dir, SECOND_DAY), config.routing, Run(SECOND_DAY, True, SWEEP))
 
 
-def _state_columns(df: DataFrame) -> DataFrame:
+def _state_columns(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(whole("pk"), "fingerprint", "rule_id", "error_type", "severity", "routed_team", "status", "first_run_date",
-                     "last_seen_run", whole("recurrence"), "ticket_key")
+                     "last_seen_run", whole("recurrence"), "ticket_key", *more)
 
 
 def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,14 +300,18 @@ def _action_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step.state.select(whole("pk"), "status", "routed_assignee", "sub_team", "sub_assignee", clock("sub_assigned_at"), clock("resolved_at"))
 
 
-def _store(spark: SparkSession, sf_dir: str) -> StateStore:
-    """A state store of its own that holds the ticket history as its first version."""
+def _imported(spark: SparkSession, state: DataFrame) -> StateStore:
+    """A state store of its own that holds ``state`` as its first version."""
     store = StateStore(spark, f"{shared_dir(spark)}/state-{uuid4().hex}")
     empty = spark.createDataFrame([], "fingerprint string")
-    job.commit_step(store, lifecycle.Step(hist.derive_state(spark, sf_dir), schemas.complete(empty, schemas.EVENT), schemas.complete(empty, schemas.AUDIT)), TODAY, "import")
+    job.commit_step(store, lifecycle.Step(state, schemas.complete(empty, schemas.EVENT), schemas.complete(empty, schemas.AUDIT)), TODAY, "import")
     return store
 
 
+def _store(spark: SparkSession, sf_dir: str) -> StateStore:
+    return _imported(spark, hist.derive_state(spark, sf_dir))
+
+
 def _sync_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, sf_dir)
     job.sync_tracker(store, hist.derive_tracker(spark, sf_dir), TODAY, F.lit(NOW).cast("timestamp"))
@@ -326,6 +330,40 @@ def _outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.actions.groupBy("action").agg(F.count(F.lit(1)).alias("actions"), F.count_distinct("pk").alias("tickets")).select("action", whole("actions"), whole("tickets"))
 
 
+def _run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State as the store holds it after a run, the console closing every fifth finding, and a run that closes what it does not report
+    any more and purges what was closed three months before."""
+    inputs, config = staged(spark, sf_dir), load_config(spark)
+    store = StateStore(spark, f"{shared_dir(spark)}/state-{uuid4().hex}", compact_every=2)
+
+    def run(day: date, settings: Settings, retention: int) -> None:
+        at = Run(day, True, settings)
+        found = checkpoint(findings.find_all(inputs, at, config, LIFE_RULES))
+        job.run_on_partition(spark, store, found, found.agg(F.count(F.lit(1))).scalar(), at, config, LIFE_RULES, retention)
+
+    run(FIRST_DAY, SWEEP, 0)
+    closed = store.live().filter(c("pk") % 5 == 0).select("pk", F.lit("resolve").alias("kind"), F.lit("me").alias("actor"), c("pk").alias("action_id"),
+                                                          F.when(c("pk") % 10 == 0, F.lit("1999-12-01 00:00:00")).otherwise("2000-06-01 00:00:00").cast("timestamp").alias("at"))
+    job.apply_actions(store, schemas.complete(closed, lifecycle.ACTIONS), date(2000, 6, 1))
+    run(SECOND_DAY, Settings(backfill_lookback=600, conversion_lookback=600, cap=None), 90)
+    return _state_columns(store.state(), clock("resolved_at"))
+
+
+def _retro_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price findings, half of them closed on different days without a resolution, after the step that stamps the closed ones."""
+    inputs = staged(spark, sf_dir)
+    state = open_entities(purchases(inputs), "PO-09", "PO_MISSING_PRICE", ["po", "supplier_sku"], ["po", "supplier_sku"])
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring("fingerprint", at, 1))
+    shut = digit(64) > 8
+    state = state.withColumns({"pk": F.xxhash64("fingerprint"), "status": F.when(shut, "Closed").otherwise("Open"),
+                               "resolved_at": F.when(shut, F.date_add(F.lit("2024-01-01").cast("date"), digit(63)).cast("timestamp"))})
+    store = _imported(spark, state)
+    job.stamp_closed(store, inputs, ORDER_RUN, load_config(spark))
+    now = F.try_element_at(c("resolution.fields"), F.lit(1))["now"]
+    return store.state().select("fingerprint", "status", c("resolution.resolved_on").alias("resolved_on"), c("resolution.summary").alias("summary"),
+                                (F.round(now, 8) + 0.0).alias("now"))
+
+
 SETTINGS_DAYS = [date(2024, 1, 1), date(2024, 2, 1)]
 
 
@@ -518,6 +556,7 @@ QUERIES: dict[str, Query] = {
     "reconcile_status": _reconcile,
     "reconcile_counts": _reconcile_counts,
     "sync_state": _sync_state, "console_state": _console_state, "outbox": _outbox,
+    "run_state": _run_state, "retro_state": _retro_state,
     "action_replay": _action_replay,
     "table_diff": _table_diff,
     "insert_missing": _insert_missing,

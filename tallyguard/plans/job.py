@@ -30,11 +30,11 @@ class RunResult:
 
 def _commit(store: StateStore, run: Run, found: DataFrame, scanned: Column, config: Config,
             closers: Callable[[DataFrame, DataFrame], DataFrame], retention_days: int) -> RunResult:
-    """Shared tail of a run: upsert, close, purge, log. State is checkpointed between the steps, so
-    lineage stays one run long and every step reads what was decided before it."""
+    """Shared tail of a run: upsert, close, purge, log. Only live findings are read and written; of the archive, retention reads
+    the close times. State is checkpointed between the steps, so lineage stays one run long and every step reads what was decided before it."""
     version = store.last_version() + 1
-    before = store.state()
-    opened = life.upsert(before, found, config.routing, run)
+    before = store.live()
+    opened = life.upsert(before, found, config.routing, run, store.last_number())
     mid = checkpoint(opened.state)
     closed = life.autoclose(mid, closers(mid, found), run)
     after = checkpoint(closed.state)
@@ -44,21 +44,23 @@ def _commit(store: StateStore, run: Run, found: DataFrame, scanned: Column, conf
     metrics = life.run_metrics(found, new_rows, closed_now, scanned, run, version)
     events = opened.events.unionByName(closed.events)
     store.append("ticket_event", events, version)
-    store.append("audit_log", opened.audit.unionByName(closed.audit).unionByName(life.purge_audit(after, run.day, retention_days)), version)
-    kept, _ = life.purge(after, events, run.day, retention_days)
-    store.write_state(kept, version)
+    store.append("audit_log", opened.audit.unionByName(closed.audit).unionByName(
+        life.purge_audit(after.unionByName(store.archived().drop("image")), run.day, retention_days)), version)
+    store.write_state(after, version, cutoff=life.cutoff(run.day, retention_days))
     store.append("outbox", ticket_actions(events), version)
     store.append("validation_run", metrics, version)
     return RunResult(version, store.log("validation_run").filter(F.col("run_id") == version), store.outbox(version))
 
 
-def commit_step(store: StateStore, step: life.Step, day: date, kind: str) -> RunResult:
-    """Store the outcome of a step other than a validation run: state, events, audit, outbox, then its run-log entry."""
+def commit_step(store: StateStore, step: life.Step, day: date, kind: str, taken: DataFrame | None = None) -> RunResult:
+    """Store the outcome of a step other than a validation run: state, events, audit, outbox, then its run-log entry.
+
+    ``step.state`` holds the live findings and the archived ones the step looked up (``taken``)."""
     version = store.last_version() + 1
     store.append("ticket_event", step.events, version)
     store.append("audit_log", step.audit, version)
     store.append("outbox", ticket_actions(step.events), version)
-    store.write_state(step.state, version)
+    store.write_state(checkpoint(step.state), version, taken)
     entry = store.spark.range(1).select(
         F.lit(version).cast("bigint").alias("run_id"), F.lit(day).alias("run_date"), F.lit(False).alias("backfill"),
         *[F.lit(0).cast("bigint").alias(n) for n in ("rows_scanned", "error_count", "new_count", "autoclosed_count")],
@@ -67,14 +69,22 @@ def commit_step(store: StateStore, step: life.Step, day: date, kind: str) -> Run
     return RunResult(version, store.log("validation_run").filter(F.col("run_id") == version), store.outbox(version))
 
 
+def looked_up(store: StateStore, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The live findings with the archived ones a step may change, and those archived ones alone."""
+    taken = checkpoint(store.archived().join(keys.distinct(), keys.columns, "left_semi"))
+    return store.live().drop("later").unionByName(taken.drop("image")), taken
+
+
 def sync_tracker(store: StateStore, tracker: DataFrame, day: date, now: Column | None = None) -> RunResult:
-    """Take the tracker's own status changes over into state."""
-    return commit_step(store, life.reconcile(store.state(), tracker, life.as_of(day) if now is None else now), day, "sync")
+    """Take the tracker's own status changes over into state. Of the archive, the tickets of the extract are looked up."""
+    state, taken = looked_up(store, tracker.select("ticket_key"))
+    return commit_step(store, life.reconcile(state, tracker, life.as_of(day) if now is None else now), day, "sync", taken)
 
 
 def apply_actions(store: StateStore, actions: DataFrame, day: date) -> RunResult:
     """Apply the console's action log to state."""
-    return commit_step(store, life.replay_actions(store.state(), actions), day, "console")
+    state, taken = looked_up(store, actions.select("pk"))
+    return commit_step(store, life.replay_actions(state, actions), day, "console", taken)
 
 
 def deliver_outbox(store: StateStore, send: Callable[[dict], None]) -> DataFrame:
@@ -85,7 +95,8 @@ def deliver_outbox(store: StateStore, send: Callable[[dict], None]) -> DataFrame
 def stamp_closed(store: StateStore, inputs: Inputs, run: Run, config: Config) -> RunResult:
     """Store the resolutions that closed findings can be given after the fact."""
     nothing = store.log("ticket_event").limit(0), store.log("audit_log").limit(0)
-    return commit_step(store, life.Step(retro_stamp(store, inputs, run, config), *nothing), run.day, "retro")
+    taken = checkpoint(life.unstamped(store.archived()))
+    return commit_step(store, life.Step(retro_stamp(store, inputs, run, config, taken), *nothing), run.day, "retro", taken)
 
 
 def carry(inputs: Inputs, run: Run) -> None:
@@ -132,8 +143,8 @@ def replay(days: list[date], step: Callable[[date, bool], RunResult], backfill_f
     return [step(day, backfill_first and i == 0) for i, day in enumerate(days)]
 
 
-def retro_stamp(store: StateStore, inputs: Inputs, run: Run, config: Config) -> DataFrame:
-    """State with a resolution on closed findings that lack one and pass now, dated by their own close."""
-    state = store.state()
-    bare = life.unstamped(state)
+def retro_stamp(store: StateStore, inputs: Inputs, run: Run, config: Config, bare: DataFrame | None = None) -> DataFrame:
+    """Live findings, and closed ones that lack a resolution: those that pass now have one, dated by their own close."""
+    bare = (life.unstamped(store.archived()) if bare is None else bare).drop("image")
+    state = store.live().drop("later").unionByName(bare)
     return life.stamp_resolutions(state, recheck_all(bare, inputs, run, config, when=life.closed_on(), types=RETRO_TYPES))

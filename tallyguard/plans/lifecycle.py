@@ -78,14 +78,18 @@ def _audit(df: DataFrame, action: str, before: Column, after: Column, at: Column
     )
 
 
-def upsert(state: DataFrame, findings: DataFrame, routing: DataFrame, run: Run) -> Step:
+def upsert(state: DataFrame, findings: DataFrame, routing: DataFrame, run: Run, last_number: int | None = None) -> Step:
     """Refresh the open finding of each seen fingerprint, or open a new one.
 
     ``findings`` holds one row per fingerprint. An open latest row is refreshed, and counts a recurrence
-    once per run day; a closed latest row (or none) leads to a new row numbered after the last."""
+    once per run day; a closed latest row (or none) leads to a new row numbered after the last.
+    ``state`` may hold the live rows alone: then ``later`` says which of them has a newer, closed row elsewhere, and ``last_number``
+    is the largest number given so far."""
     day, at = F.lit(run.day), as_of(run.day)
+    alive = c("_status").isin(*OPEN_STATES)
+    hidden = F.max_by("later", "pk") if "later" in state.columns else F.lit(False)
     last = state.groupBy("fingerprint").agg(
-        F.max("pk").alias("_last"), F.max_by("status", "pk").alias("_status")).filter(c("_status").isin(*OPEN_STATES))
+        F.max("pk").alias("_last"), F.max_by("status", "pk").alias("_status"), hidden.alias("_later")).filter(alive & ~c("_later"))
     seen = findings.select("fingerprint", c("snapshot").alias("_snapshot"), c("severity").alias("_severity"),
                            *[c(k).alias(f"_{k}") for k in schemas.KEYS + ("facility", "facility_type", "system", "movement", "last_receipt")])
     seen = seen.join(last.select("fingerprint", "_last"), "fingerprint")
@@ -100,7 +104,7 @@ def upsert(state: DataFrame, findings: DataFrame, routing: DataFrame, run: Run)
         "recurrence": c("recurrence") + F.when(c("_again"), 1).otherwise(0),
         "last_seen_run": F.when(hit, day).otherwise(c("last_seen_run")),
     })
-    start = F.coalesce(state.agg(F.max("pk")).scalar(), F.lit(0))
+    start = F.coalesce(state.agg(F.max("pk")).scalar(), F.lit(0)) if last_number is None else F.lit(last_number)
     unseen = findings.join(last.select("fingerprint"), "fingerprint", "left_anti")
     opened = numbered(routed(unseen, routing), "fingerprint", start, "pk").withColumns({
         "status": F.lit("Open"), "detected_at": at, "first_run_date": F.coalesce("breached_at", day), "last_seen_run": day,
@@ -175,12 +179,16 @@ def run_metrics(findings: DataFrame, created: DataFrame, closed: DataFrame, scan
     )
 
 
+def cutoff(now: date, days: int) -> Column | None:
+    """Findings closed before this time are past retention; there is none when ``days`` is 0."""
+    return F.lit(now - timedelta(days=days)).cast("timestamp") if days > 0 else None
+
+
 def expired(state: DataFrame, now: date, days: int) -> DataFrame:
     """Closed findings older than the retention window; none when ``days`` is 0."""
     if days <= 0:
         return state.limit(0)
-    cutoff = F.lit(now - timedelta(days=days)).cast(state.schema["resolved_at"].dataType)
-    return state.filter(c("status").isin(*CLOSED_STATES) & (c("resolved_at") < cutoff))
+    return state.filter(c("status").isin(*CLOSED_STATES) & (c("resolved_at") < cutoff(now, days).cast(state.schema["resolved_at"].dataType)))
 
 
 def purge(state: DataFrame, events: DataFrame, now: date, days: int) -> tuple[DataFrame, DataFrame]:

@@ -1,27 +1,38 @@
-"""Finding state as one snapshot per run plus append-only logs, all plain Parquet in a shared folder.
+"""Finding state as live rows plus an archive of closed ones, and append-only logs, all plain Parquet in a shared folder.
 
 A run writes under its own version folders and commits by writing its run-log entry last; readers take
 the newest logged version, so a half-written run is never seen and a retry never edits in place.
+
+* ``live/version=N``: every finding that is not closed, as version N left it. A run reads and writes these alone. ``later`` marks a row
+  whose fingerprint has a newer finding (a reopened one can be older than a closed one).
+* ``archive/version=N``: closed findings that version N closed or changed. An image is never edited.
+* ``dropped/version=N``: (pk, image) of archived images that no longer count: reopened, replaced or past retention.
+* ``base/version=N``: the images that count at version N, merged every ``compact_every`` versions, so a read touches few folders.
+* ``numbers/version=N``: the largest finding number given so far. Numbers of purged findings are not given again.
 """
 
 from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard import schemas
+from tallyguard.settings import CLOSED_STATES
 from tallyguard.sources.tickets import DELIVERY
 
 LOGS = {"ticket_event": schemas.EVENT, "audit_log": schemas.AUDIT, "outbox": schemas.OUTBOX, "validation_run": schemas.RUN_LOG}
+LIVE = f"{schemas.STATE}, later boolean"
+IMAGE = f"{schemas.STATE}, image int"
+DROPPED = "pk bigint, image int"
 
 
 class StateStore:
     """``<root>/<table>/version=N`` per run; the run-log entry of version N commits all of them."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, compact_every: int = 16):
+        self.spark, self.root, self.compact_every = spark, root.rstrip("/"), compact_every
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -81,14 +92,89 @@ class StateStore:
         """Events of findings still kept; those of purged findings go with them."""
         return self.log("ticket_event").join(self.state().select("pk"), "pk", "left_semi")
 
-    def state(self, version: int | None = None) -> DataFrame:
+    def live(self, version: int | None = None) -> DataFrame:
+        """The findings that are not closed."""
         version = self.last_version() if version is None else version
         if version == 0:
-            return self.spark.createDataFrame([], schemas.STATE)
-        return self.spark.read.schema(schemas.STATE).parquet(f"{self.root}/state/version={version}")
+            return self.spark.createDataFrame([], LIVE)
+        return self.spark.read.schema(LIVE).parquet(f"{self.root}/live/version={version}")
+
+    def _between(self, name: str, ddl: str, after: int, upto: int) -> DataFrame:
+        path = f"{self.root}/{name}"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], f"{ddl}, version int")
+        return self.spark.read.schema(f"{ddl}, version int").parquet(path).filter((F.col("version") > after) & (F.col("version") <= upto))
+
+    def archived(self, version: int | None = None, base: int | None = None) -> DataFrame:
+        """The closed findings, each with the version its image is of. Dropped images leave by an anti join, history is not grouped."""
+        version = self.last_version() if version is None else version
+        base = self._newest("base", version) if base is None else base
+        images = self._between("archive", schemas.STATE, base, version).withColumnRenamed("version", "image")
+        if base:
+            images = images.unionByName(self.spark.read.schema(IMAGE).parquet(f"{self.root}/base/version={base}"))
+        return images.join(self._between("dropped", DROPPED, base, version).drop("version"), ["pk", "image"], "left_anti")
+
+    def state(self, version: int | None = None) -> DataFrame:
+        """All findings. A run needs ``live`` only; this is for reports and for steps that look tickets up."""
+        version = self.last_version() if version is None else version
+        return self.live(version).drop("later").unionByName(self.archived(version).drop("image"))
 
-    def write_state(self, df: DataFrame, version: int) -> DataFrame:
-        schemas.conform(df, schemas.STATE).write.mode("overwrite").parquet(f"{self.root}/state/version={version}")
+    def _newest(self, name: str, upto: int) -> int:
+        """The newest version of a table that is not written by every version; folder names are read, no data."""
+        path = f"{self.root}/{name}"
+        if not self._exists(path):
+            return 0
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        names = [f.getPath().getName() for f in target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)]
+        found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+        return max([n for n in found if n <= upto], default=0)
+
+    def last_number(self) -> int:
+        """The largest finding number given so far."""
+        return self._read("numbers", "last bigint", self.last_version()).agg(F.max("last")).first()[0] or 0
+
+    def write_state(self, df: DataFrame, version: int, taken: DataFrame | None = None, cutoff: Column | None = None) -> DataFrame:
+        """Write what a step left of the live findings, and of the ``taken`` ones it looked up in the archive (rows of ``archived``).
+
+        Closed findings go to the archive; an archived one that changed gets a new image and its old one is dropped, an unchanged one
+        stays where it is. Archived findings closed before ``cutoff`` are dropped too. Only ``taken`` rows, their
+        fingerprints and, for the cutoff, the close times are read from the archive."""
+        rows, before = schemas.conform(df, schemas.STATE), version - 1
+        closed = F.coalesce(F.col("status").isin(*CLOSED_STATES), F.lit(False))
+        expired = F.lit(False) if cutoff is None else closed & F.coalesce(F.col("resolved_at") < cutoff, F.lit(False))
+        known = self.live(before).select("pk", F.col("later").alias("_was"))
+        if taken is None:
+            images, gone = rows.filter(closed & ~expired), self.spark.createDataFrame([], DROPPED)
+        else:
+            names = schemas.parsed(schemas.STATE).fieldNames()
+            old = taken.select("pk", "image", F.struct(*names).alias("_old"))
+            met = rows.withColumn("_new", F.struct(*names)).join(old, "pk", "left")
+            moved = met.filter(F.col("_old").isNull() | ~F.col("_new").eqNullSafe(F.col("_old")))
+            images = moved.filter(closed & ~expired).select("_new.*")
+            gone = moved.filter(F.col("_old").isNotNull()).select("pk", "image")
+        if cutoff is not None:
+            gone = gone.unionByName(self.archived(before).filter(expired).select("pk", "image")).distinct()
+        newest = rows.filter(~expired).select("fingerprint", "pk")
+        live = rows.filter(~closed).join(known, "pk", "left")
+        if taken is not None or cutoff is not None:  # archived rows came back or went: ask the archive about the rows in doubt
+            doubt = live.filter("_was").select("fingerprint")
+            if taken is not None:
+                doubt = doubt.unionByName(live.join(taken.select("pk"), "pk", "left_semi").select("fingerprint"))
+            left = self.archived(before).join(gone, ["pk", "image"], "left_anti").select("fingerprint", "pk")
+            newest = newest.unionByName(left.join(doubt.distinct(), "fingerprint", "left_semi"))
+            live = live.withColumn("_was", F.lit(False))
+        newest = newest.groupBy("fingerprint").agg(F.max("pk").alias("_newest"))
+        live = live.join(newest, "fingerprint", "left").withColumn(
+            "later", F.coalesce("_was", F.lit(False)) | F.coalesce(F.col("_newest") > F.col("pk"), F.lit(False)))
+        last = rows.agg(F.greatest(F.coalesce(F.max("pk"), F.lit(0)), F.lit(self.last_number())).cast("bigint").alias("last"))
+        for name, part, ddl in (("archive", images, schemas.STATE), ("dropped", gone, DROPPED), ("live", live, LIVE), ("numbers", last, "last bigint")):
+            schemas.conform(part, ddl).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+        base = f"{self.root}/base/version={version}"
+        if version % self.compact_every == 0:
+            self.archived(version, self._newest("base", before)).write.mode("overwrite").parquet(base)
+        elif self._exists(base):  # of a failed attempt with another setting
+            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         return self.state(version)
 
     def write_findings(self, df: DataFrame, version: int) -> DataFrame:
