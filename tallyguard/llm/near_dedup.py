@@ -8,11 +8,13 @@ at the threshold 0.8 with a chance of (1 - 0.8^5)^36 = 6e-7.
 Scale. Equal word sequences become one node first. A band bucket is never expanded into pairs: its members are compared with
 one centre, the member with most company over all its buckets; links merge components, and the next round compares what is
 left of a bucket with another centre, members of the centre's own component excepted. A bucket is finished when its uncompared
-members are in one component, for further links inside could not change any component. Buckets that are still open after the
-rounds, such as many edited copies that are rarely similar enough to each other, are finished in blocks: the remaining members are
+members are in one component, for further links inside could not change any component. A round goes on with the buckets of more
+than one block for as long as the last one shrank them to half. All others that are open, such as edited copies that are rarely
+similar enough to each other, are finished in blocks: the remaining members are
 dealt to parts, each two parts meet in one task, the sizes of all intersections there come from one pass over their shared shingles,
-and only links between components that are still apart go out. So no candidate is lost. A centre's comparisons are dealt out in
-parts of ``PART`` members. Sets are compared in full, as 64-bit hashes of the shingles. Components come from alternating
+and only links between components that are still apart go out. So no candidate is lost. Buckets with the same members, as the
+copies of one text have in many bands, are finished once. A centre's comparisons are dealt out in
+parts of ``PART`` members. Texts are fetched by row, so rows that repeat an id or have none cost no more than others. Sets are compared in full, as 64-bit hashes of the shingles. Components come from alternating
 large-star and small-star rounds. Nothing is collected but counters.
 
 Defined results: null counts as empty; a text without words has an empty set and is linked with nothing; fewer words than a
@@ -27,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard.llm.common import documents, staged, text_of
@@ -35,7 +37,8 @@ from tallyguard.llm.textnp import mix, shingle_hashes, word_hashes
 
 PLACES, BANDS, ROWS = 1 << 22, 36, 5
 PERCENT, SHINGLE = 80, 5
-PART, CENTRE_ROUNDS = 128, 1
+PART = 128
+SHRUNK = 0.5  # another centre where the last one left at most this share of the large buckets' rows
 BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 1_000_000  # of one part of a bucket
 
 
@@ -82,13 +85,6 @@ def _sign(shingle: int):
     return run
 
 
-def _matching(batches):
-    """Texts that have the digest they are wanted for: an id may be repeated with other texts."""
-    for batch in batches:
-        same = [digest(t.as_py().lower()) == d.as_py() for d, t in zip(batch.column(1), batch.column(2))]
-        yield batch.filter(pa.array(same, pa.bool_())).select([0, 2])
-
-
 def _compare(shingle: int, percent: int):
     """Rows come ordered by centre and part, the centre first; links go out."""
     def run(batches):
@@ -184,10 +180,17 @@ def _link_batch(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _parts() -> Column:
+    """How many parts a bucket's rows make."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES))
+
+
 def settled(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between different components among the rows (key, node, n, comp) of each key, enough to join what belongs together."""
     c = F.col
-    parts = rest.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    whole = rest.groupBy("key").agg(_parts().alias("parts"), F.count(F.lit(1)).alias("members"), *[
+        F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)")).alias(f"set{seed}") for seed in (1, 2)])
+    parts = whole.groupBy("members", "set1", "set2").agg(F.min(F.struct("key", "parts")).alias("one")).select("one.key", "one.parts")
     dealt = rest.join(parts, "key").withColumn("mine", F.pmod(F.xxhash64("node", "key"), c("parts")))
     met = dealt.select("key", "node", "comp", "mine", F.explode(F.sequence(F.lit(0).cast("bigint"), c("parts") - 1)).alias("other"))
     rows = met.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "comp").join(texts, "node")
@@ -226,38 +229,47 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(rid, id, n, comp) for rows of (rid, id, text): comp is equal within a group of near duplicates."""
+    """(rid, id, n, comp) for rows of (rid, id, text), a written table: comp is equal within a group of near duplicates."""
     c = F.col
     signed = staged(docs.select("rid", "id", c("text").cast("binary").alias("text")).mapInArrow(
         _sign(shingle), "rid bigint, id bigint, digest binary, n bigint, bands array<bigint>"))
-    # one node for each word sequence; rows without words stand alone
+    # one node for each word sequence, held by one of its rows; rows without words stand alone
     nodes = staged(signed.filter("n > 0").groupBy("digest").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+        F.min("rid").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     members = nodes.select("node", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
     open_rows = staged(members.join(shared, "key"))
     score = open_rows.groupBy("node").agg(F.sum("company").alias("score"))
-    texts = staged(nodes.join(score, "node").select("node", "id", "digest").alias("w").join(
-        docs.select("id", c("text").cast("binary").alias("text")).alias("d"), c("w.id").eqNullSafe(c("d.id"))
-    ).select("w.node", "w.digest", "d.text").mapInArrow(_matching, "node bigint, text binary"))
+    texts = staged(docs.select(c("rid").alias("node"), c("text").cast("binary").alias("text")).join(score.select("node"), "node", "left_semi"))
     rows = staged(open_rows.select("key", "node").join(score, "node").join(nodes.select("node", "n"), "node").withColumn("comp", c("node")))
-    links = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("score", (-c("node")).alias("back"), "comp")).alias("top")).filter(
-            "lo <> hi").select("key", (-c("top.back")).alias("centre"), c("top.comp").alias("centre_comp"))
+    links, comps, large = None, None, None
+    while True:
+        keys = rows.groupBy("key").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("score", (-c("node")).alias("back"), "comp")).alias("top"), _parts().alias("parts")
+        ).filter("lo <> hi").select("key", (-c("top.back")).alias("centre"), c("top.comp").alias("centre_comp"), "parts")
         rest = staged(rows.join(keys, "key"))
         if rest.isEmpty():
             break
-        if turn < CENTRE_ROUNDS:
-            found = staged(verified(staged(rest.filter("comp <> centre_comp").select("centre", "node").distinct()), texts, shingle, percent))
-        else:
-            found = staged(settled(rest.select("key", "node", "n", "comp"), texts, shingle, percent))
-        links = found if links is None else links.unionByName(found)
+        left = rest.filter("parts > 1").count()
+        central = large is None or 0 < left <= SHRUNK * large
+        found = []
+        if central:  # the first round takes every bucket, later ones the large ones
+            centred = rest if large is None else rest.filter("parts > 1")
+            found.append(verified(staged(centred.filter("comp <> centre_comp").select("centre", "node").distinct()), texts, shingle, percent))
+        if large is not None:
+            blocks = rest.filter("parts = 1") if central else rest
+            found.append(settled(blocks.select("key", "node", "n", "comp"), texts, shingle, percent))
+        for part in found:
+            part = staged(part)
+            links = part if links is None else links.unionByName(part)
         comps = staged(components(links))
-        rows = staged(rest.filter("node <> centre").select("key", "node", "score", "n").join(comps, "node", "left").select(
-            "key", "node", "score", "n", F.coalesce("comp", "node").alias("comp")))
+        if not central:
+            break
+        rows = (rest if large is None else rest.filter("parts > 1")).filter("node <> centre").select("key", "node", "score", "n")
+        rows = staged(rows.join(comps, "node", "left").select("key", "node", "score", "n", F.coalesce("comp", "node").alias("comp")))
+        large = left
     by_digest = nodes.select("digest", "node")
-    if links is None:
+    if comps is None:
         by_digest = by_digest.select("digest", c("node").alias("comp"))
     else:
         by_digest = by_digest.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
@@ -276,7 +288,7 @@ def _first(found: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, size of its shingle set, smallest id of its component, whether that is its own."""
     c = F.col
-    found = staged(linked(_rows(docs, doc_id, text), shingle, percent))
+    found = staged(linked(staged(_rows(docs, doc_id, text)), shingle, percent))
     out = found.join(_first(found), "comp", "left").withColumn("component_id", F.when(c("comp").isNull(), c("id")).otherwise(c("first.id")))
     return out.select(c("id").alias(doc_id), c("n").alias("n_shingles"), "component_id", c("id").eqNullSafe(c("component_id")).alias("kept"))
 
@@ -293,3 +305,19 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
+OP9_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS sh FROM d),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT s.doc_id, cast(len(sh) AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
+FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id
+"""

@@ -26,7 +26,9 @@ QUERIES = {
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op3_license_scan": license_scan.OP3_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
     "op12_merkle_manifest": merkle_manifest.OP12_SQL,
 }

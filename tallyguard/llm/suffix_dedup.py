@@ -236,3 +236,24 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_kept=False)
+
+
+# texts as hex digits, two for each byte; a string that starts twice marks its 200 bytes, and marks that touch are one span
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+cut AS (SELECT doc_id, p, substr(h, 2 * p + 1, 798) AS part FROM (SELECT doc_id, h, unnest(range(0, n - 199, 200)) AS p FROM d)),
+w AS (SELECT doc_id, p + j AS i, sha256(substr(part, 2 * j + 1, 400)) AS g
+  FROM (SELECT doc_id, p, part, unnest(range(0, least(200, length(part) // 2 - 199))) AS j FROM cut)),
+hit AS (SELECT doc_id, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM run GROUP BY doc_id, k),
+gap AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN span ON d.doc_id = span.doc_id GROUP BY d.doc_id),
+kept AS (SELECT gap.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS t FROM gap JOIN d ON gap.doc_id = d.doc_id GROUP BY gap.doc_id),
+total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, cast(n AS BIGINT) AS n_bytes, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, cast(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(t)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN total ON d.doc_id = total.doc_id
+"""

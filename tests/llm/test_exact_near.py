@@ -85,12 +85,25 @@ def chain_rows(count: int, seed: int):
 def test_near_duplicates_of_chains_and_hubs(spark, monkeypatch):
     rows = chain_rows(40, 7)
     want = {i: min(g) for (i, _), (_, g) in zip(rows, near_groups(rows, 4))}
-    for rounds in (0, 1, 3):  # 0: everything is compared in blocks
-        monkeypatch.setattr(near_dedup, "CENTRE_ROUNDS", rounds)
+    for block, share in ((256, 0.5), (4, 0.0), (16, 0.9)):  # one block a bucket; many blocks after one centre; more centres
+        monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", block)
+        monkeypatch.setattr(near_dedup, "SHRUNK", share)
         got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows), shingle=4).collect()}
         assert got == want
 
 
+def test_rows_without_id_are_fetched_once_each(spark):
+    rows = [(None, t) for _, t in chain_rows(30, 9)] + [(5, t) for _, t in chain_rows(30, 9)]
+    got = near_dedup.near_duplicates(table(spark, rows), shingle=4).collect()
+    sizes = [n for n, _ in near_groups(rows, 4)]
+    assert sorted(r.n_shingles for r in got) == sorted(sizes) and {r.component_id for r in got} == {5}
+    found = near_dedup.linked(staged(near_dedup._rows(table(spark, rows), "doc_id", "text")), 4, 80).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.comp, []).append(r)
+    assert sorted(map(len, groups.values())) == sorted(len(g) for g in {min(g): g for _, g in near_groups(rows, 4)}.values())
+
+
 def test_signature_estimates_similarity():
     a, b = shingle_hashes(word_hashes(" ".join(map(str, range(1000))).encode()), 5), shingle_hashes(word_hashes(" ".join(map(str, range(100, 1100))).encode()), 5)
     share = np.mean(near_dedup.signature(a) == near_dedup.signature(b))

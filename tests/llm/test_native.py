@@ -1,9 +1,9 @@
-"""Operators made of DataFrame functions only: against SQL on the given tables, and on small awkward ones."""
+"""Operators with an SQL twin on the given tables; those made of DataFrame functions only also on small awkward ones."""
 
 import duckdb
 import pytest
 
-from tallyguard.llm import exact_dedup, license_scan, quality_rules, url_filter
+from tallyguard.llm import exact_dedup, license_scan, near_dedup, quality_rules, suffix_dedup, url_filter
 from tests.llm.cases import table, texts
 
 SMALL = "/root/testdata/sf0.001"
@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("query, sql", [
     (exact_dedup.op1_exact_dedup, exact_dedup.OP1_SQL), (license_scan.op3_license_scan, license_scan.OP3_SQL),
-    (url_filter.op7_url_filter, url_filter.OP7_SQL), (quality_rules.op10_quality_rules, quality_rules.OP10_SQL)])
+    (near_dedup.op9_near_dedup, near_dedup.OP9_SQL), (suffix_dedup.op6_suffix_dedup, suffix_dedup.OP6_SQL), (url_filter.op7_url_filter, url_filter.OP7_SQL), (quality_rules.op10_quality_rules, quality_rules.OP10_SQL)])
 def test_query_equals_sql(spark, query, sql):
     con = duckdb.connect()
     for name in ("documents", "pages"):
