@@ -8,6 +8,10 @@ last return the columns of ``documents``; the last returns one row per piece wit
 * near: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
 * secrets: every span found is replaced by a mark; no document goes.
 * packing: the remaining texts become sequences of at most 4096 tokens.
+
+Defined results: a null or empty text has too few words and goes in the first stage; texts of any length are handled whole; rows that repeat
+an id are rows of their own, and of equal ones one stays; a null id is carried through; empty documents give no rows; further columns are
+kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
