@@ -58,3 +58,32 @@ def test_settings_tables_are_broadcast(spark, name):
 
 def test_registered_names_are_plain():
     assert all(re.fullmatch(r"[a-z][a-z0-9_]*", n) for n in QUERIES)
+
+
+def test_staging_joins_never_sort_and_shuffle_no_texts(spark, monkeypatch):
+    """Where nothing fits a broadcast, the lines are hashed to their orders and items, and the ledger's texts are made behind its shuffle."""
+    from tallyguard.sources import derived
+
+    monkeypatch.setattr(derived, "_read", lambda session, folder, name: session.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = derived._joined(spark, "")
+        plan = joined._jdf.queryExecution().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        legs = derived._legs(joined)
+        assert {"id", "ref_order_id", "consumable_sku", "facility_name"}.isdisjoint(legs.columns)
+        assert derived._line_movements(legs).count() == legs.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_described_ledger_is_written_as_a_plain_one(spark, tmp_path):
+    from tallyguard.sources import derived, tables
+
+    legs = derived._legs(derived._joined(spark, "/root/testdata/sf0.001"))
+    tables.write_ledger(legs, str(tmp_path / "described"), "month", derived._line_movements)
+    tables.write_ledger(derived._line_movements(legs), str(tmp_path / "plain"), "month")
+    described, plain = (tables.read_ledger(spark, str(tmp_path / n)) for n in ("described", "plain"))
+    assert described.columns == plain.columns
+    assert described.exceptAll(plain).count() == plain.exceptAll(described).count() == 0
