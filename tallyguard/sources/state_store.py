@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard import schemas
+from tallyguard.session import stored
 from tallyguard.settings import CLOSED_STATES
 from tallyguard.sources.tickets import DELIVERY
 
@@ -28,6 +29,27 @@ IMAGE = f"{schemas.STATE}, image int"
 DROPPED = "pk bigint, image int"
 
 
+def row_digest() -> Column:
+    """128 bits of a whole finding. Every column's null is hashed as well, and the nested one as text with its nulls."""
+    nested = F.to_json(F.struct("resolution"), {"ignoreNullFields": "false"})
+    parts = [x for n in schemas.parsed(schemas.STATE).fieldNames() for x in ((nested,) if n == "resolution" else (F.col(n), F.col(n).isNull()))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *reversed(parts)).alias("b"))
+
+
+def name_hash() -> Column:
+    return F.xxhash64("fingerprint").alias("_name")
+
+
+def outrun(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The ``pk`` of each row whose fingerprint has a newer finding in ``others``, which holds the rows themselves too.
+
+    Fingerprints are grouped by an 8-byte hash first; only those that may occur twice are compared in full."""
+    twice = stored(others.groupBy(name_hash()).agg(F.min("pk").alias("a"), F.max("pk").alias("b")).filter("a < b").select("_name"))
+    again = others.withColumn("_name", name_hash()).join(twice, "_name", "left_semi").groupBy("fingerprint").agg(F.max("pk").alias("_newest"))
+    return rows.withColumn("_name", name_hash()).join(twice, "_name", "left_semi").drop("_name").join(again, "fingerprint").filter(
+        F.col("_newest") > F.col("pk")).select("pk")
+
+
 class StateStore:
     """``<root>/<table>/version=N`` per run; the run-log entry of version N commits all of them."""
 
@@ -86,7 +108,7 @@ class StateStore:
 
     def append(self, name: str, df: DataFrame, version: int) -> None:
         """One run's share of a log. A repeated attempt replaces its own share only."""
-        schemas.conform(df, LOGS[name]).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+        schemas.conform(df, LOGS[name]).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/version={version}")
 
     def live_events(self) -> DataFrame:
         """Events of findings still kept; those of purged findings go with them."""
@@ -142,36 +164,36 @@ class StateStore:
         rows, before = schemas.conform(df, schemas.STATE), version - 1
         closed = F.coalesce(F.col("status").isin(*CLOSED_STATES), F.lit(False))
         expired = F.lit(False) if cutoff is None else closed & F.coalesce(F.col("resolved_at") < cutoff, F.lit(False))
-        known = self.live(before).select("pk", F.col("later").alias("_was"))
-        if taken is None:
-            images, gone = rows.filter(closed & ~expired), self.spark.createDataFrame([], DROPPED)
-        else:
-            names = schemas.parsed(schemas.STATE).fieldNames()
-            old = taken.select("pk", "image", F.struct(*names).alias("_old"))
-            met = rows.withColumn("_new", F.struct(*names)).join(old, "pk", "left")
-            moved = met.filter(F.col("_old").isNull() | ~F.col("_new").eqNullSafe(F.col("_old")))
-            images = moved.filter(closed & ~expired).select("_new.*")
-            gone = moved.filter(F.col("_old").isNotNull()).select("pk", "image")
+        images, gone = rows.filter(closed & ~expired), self.spark.createDataFrame([], DROPPED)
+        if taken is not None:  # rows are compared by digests, so none but the closed ones is shuffled whole
+            old = taken.select("pk", "image", row_digest().alias("_old"))
+            met = stored(rows.select("pk", row_digest().alias("_new")).join(old, "pk").select(
+                "pk", "image", (F.col("_new") != F.col("_old")).alias("_moved")))
+            images = images.join(met.filter(~F.col("_moved")).select("pk"), "pk", "left_anti")
+            gone = met.filter("_moved").select("pk", "image")
         if cutoff is not None:
-            gone = gone.unionByName(self.archived(before).filter(expired).select("pk", "image")).distinct()
+            gone = stored(gone.unionByName(self.archived(before).filter(expired).select("pk", "image")).distinct())
+        was = stored(self.live(before).filter("later").select("pk"))
         newest = rows.filter(~expired).select("fingerprint", "pk")
-        live = rows.filter(~closed).join(known, "pk", "left")
+        live = rows.filter(~closed)
+        names = live.select("fingerprint", "pk")
+        later = was
         if taken is not None or cutoff is not None:  # archived rows came back or went: ask the archive about the rows in doubt
-            doubt = live.filter("_was").select("fingerprint")
+            doubt = was
             if taken is not None:
-                doubt = doubt.unionByName(live.join(taken.select("pk"), "pk", "left_semi").select("fingerprint"))
+                doubt = doubt.unionByName(taken.select("pk"))
+            doubt = names.join(doubt, "pk", "left_semi").select(name_hash()).distinct()
             left = self.archived(before).join(gone, ["pk", "image"], "left_anti").select("fingerprint", "pk")
-            newest = newest.unionByName(left.join(doubt.distinct(), "fingerprint", "left_semi"))
-            live = live.withColumn("_was", F.lit(False))
-        newest = newest.groupBy("fingerprint").agg(F.max("pk").alias("_newest"))
-        live = live.join(newest, "fingerprint", "left").withColumn(
-            "later", F.coalesce("_was", F.lit(False)) | F.coalesce(F.col("_newest") > F.col("pk"), F.lit(False)))
+            newest = newest.unionByName(left.withColumn("_name", name_hash()).join(doubt, "_name", "left_semi").drop("_name"))
+            later = was.limit(0)
+        later = stored(later.unionByName(outrun(names, newest)).distinct().withColumn("later", F.lit(True)))
+        live = live.join(later, "pk", "left").withColumn("later", F.coalesce("later", F.lit(False)))
         last = rows.agg(F.greatest(F.coalesce(F.max("pk"), F.lit(0)), F.lit(self.last_number())).cast("bigint").alias("last"))
         for name, part, ddl in (("archive", images, schemas.STATE), ("dropped", gone, DROPPED), ("live", live, LIVE), ("numbers", last, "last bigint")):
-            schemas.conform(part, ddl).write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
+            schemas.conform(part, ddl).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/version={version}")
         base = f"{self.root}/base/version={version}"
         if version % self.compact_every == 0:
-            self.archived(version, self._newest("base", before)).write.mode("overwrite").parquet(base)
+            self.archived(version, self._newest("base", before)).write.mode("overwrite").option("compression", "zstd").parquet(base)
         elif self._exists(base):  # of a failed attempt with another setting
             target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tallyguard import schemas
 from tallyguard.plans import job, lifecycle
+from tallyguard.session import checkpoint
 from tallyguard.settings import Run
 from tallyguard.sources.config_tables import load_config
-from tallyguard.sources.state_store import StateStore
+from tallyguard.sources.state_store import StateStore, outrun, row_digest
 
 AT = "2026-07-06 12:00:00"
 
@@ -76,3 +77,21 @@ def test_a_broken_attempt_is_not_seen(spark, tmp_path, left):
     assert rows_of(store.state()) == before
     job.run_on_partition(spark, store, found(spark, "b"), F.lit(0), Run(DAY + timedelta(days=1)), config, ["PO-13"])
     assert {(r[1], r[2]) for r in rows_of(store.state())} == {("a", "Auto-Closed"), ("b", "Open")} and store.state().count() == 2
+
+
+def test_a_checkpoint_is_a_written_table(spark):
+    kept = checkpoint(spark.range(3))
+    assert kept.count() == 3 and all(f.endswith(".zstd.parquet") for f in kept.inputFiles()) and kept.inputFiles()
+
+
+def test_digests_tell_nulls_apart(spark):
+    change = {"label": "x", "was": None, "now": 5.0, "unit": None}
+    rows = [{"pk": 1, "po": "a"}, {"pk": 1, "ims_sku": "a"}, {"pk": 1, "po": "a", "ims_sku": ""}, {"pk": 1, "po": "a"}]
+    rows += [{"pk": 1, "resolution": (None, None, [c])} for c in (change, {**change, "was": 5.0, "now": None})]
+    assert frame(spark, schemas.STATE, rows).select(row_digest()).distinct().count() == 5
+
+
+def test_only_rows_with_a_newer_namesake_are_outrun(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "pk bigint, fingerprint string")
+    others = rows.unionByName(spark.createDataFrame([(4, "a"), (1, "b"), (9, None), (5, "c"), (6, "c")], rows.schema))
+    assert [r.pk for r in outrun(rows, others).collect()] == [1]
