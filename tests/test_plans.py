@@ -7,7 +7,7 @@ import pytest
 
 from checks.spark_queries import DAILY_RUN, ORDER_RUN, QUERIES, SF_SMALL
 from tallyguard.plans import findings, po_rules, transfer_rules
-from tallyguard.settings import Run
+from tallyguard.settings import Run, Settings
 from tallyguard.sources.config_tables import load_config
 from tallyguard.sources.derived import staged
 
@@ -87,3 +87,11 @@ def test_a_described_ledger_is_written_as_a_plain_one(spark, tmp_path):
     described, plain = (tables.read_ledger(spark, str(tmp_path / n)) for n in ("described", "plain"))
     assert described.columns == plain.columns
     assert described.exceptAll(plain).count() == plain.exceptAll(described).count() == 0
+
+
+def test_the_rules_run_once_for_a_capped_list(spark, inputs):
+    run = Run(ORDER_RUN.day, True, Settings(backfill_lookback=36500, cap=5))
+    found = findings.find_all(inputs, run, load_config(spark), ["PO-09", "PO-13"])
+    listed = findings.cap_findings(found, run)
+    assert not any("/orders/" in f or "/ledger/" in f for f in listed.inputFiles())
+    assert listed.groupBy("rule_id").count().count() == 2 and listed.count() <= 10
