@@ -60,12 +60,13 @@ def keys_of(state: DataFrame, *names: str) -> DataFrame:
 # ---- current values of the open entities -----------------------------------------------------
 
 def now_over_receipt(state: DataFrame, inputs: Inputs, run: Run, ledger_qty: str = "consumable_quantity_change") -> DataFrame:
-    """Both layers for open (order, SKU) pairs. A pair may be known to one side alone: a full outer join.
+    """Both layers for the open (order, SKU) pairs that the order book holds; the ledger may have nothing for them.
 
-    The ledger is read from the finder's window before the oldest open breach on (one value read back), so receipts
+    A pair the order book does not hold has no ordered quantity and never passes, so the ledger is joined from the left: rows, keys and
+    state then lie by the same pair and nothing is shuffled after the two tables. The ledger is read from the finder's window before the oldest open breach on (one value read back), so receipts
     that were counted when the pair was flagged still count. ``ledger_qty`` picks the quantity column."""
     pair, s = ["po", "ims_sku"], run.settings
-    keys = keys_of(state, *pair)
+    keys = state.filter(c("po").isNotNull() & c("ims_sku").isNotNull()).select(*pair)
     oldest = min(run.day, state.agg(F.min("first_run_date")).first()[0] or run.day)
     since = oldest - timedelta(days=max(s.backfill_lookback, s.receipt_lookback))
     ledger = (
@@ -79,7 +80,7 @@ def now_over_receipt(state: DataFrame, inputs: Inputs, run: Run, ledger_qty: str
         .agg(F.sum("ims_sku_qty").alias("ordered_pkg"), F.sum("consumable_sku_qty").alias("ordered_base"),
              F.sum("received_qty").alias("po_received"), F.min("consumable_uom").alias("ordered_uom"))
     )
-    return ledger.join(book, pair, "full")
+    return book.join(ledger, pair, "left")
 
 
 def recheck_over_receipt(state: DataFrame, inputs: Inputs, run: Run, config: Config, when: Column) -> DataFrame:
