@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.columns import movement
-from tallyguard.operators.windows import capped, running_sum
+from tallyguard.operators.windows import capped, running_sum_of_day
 from tallyguard.settings import BACKFILL_LOOKBACK_DAYS, MISSING, RECEIVING_ACTIONS
 from tallyguard.sources.derived import Inputs
 from tallyguard.sources.tables import ledger_window, orders_of
@@ -22,23 +22,33 @@ def breakdown_order(
 ) -> DataFrame:
     """Order lines, then ledger rows with their running net, for each (po, ims_sku) in ``keys``.
 
-    ``keys`` may carry ``system``; where known, only that system's movements are listed."""
+    ``keys`` may carry ``system``; where known, only that system's movements are listed. The join with the keys has brought the
+    movements of a pair together, so their net runs where they lie."""
     pair = ["po", "ims_sku"]
-    wanted = keys.select(*pair, *(["system"] if "system" in keys.columns else [])).distinct()
-    lines = orders_of(inputs.orders, "Purchase").join(wanted.select(*pair).distinct(), pair, "left_semi").select(
+    wanted = _wanted(keys)
+    lines = orders_of(inputs.orders, "Purchase").join(wanted.select(*pair), pair, "left_semi").select(
         *pair, F.lit("PO").alias("source"), c("_id").alias("id"), c("consumable_sku_qty").alias("qty"), c("consumable_uom").alias("uom"),
         "order_type", "status", c("po_date_utc").alias("ts"))
+    events = _moved(inputs, wanted, day, window_days).select(
+        *pair, F.lit("LEDGER").alias("source"), "id", c("consumable_quantity_change").alias("qty"), c("consumable_uom").alias("uom"),
+        "l1_action", "l2_action", c("facility_name").alias("facility"), c("datetime_utc").alias("ts"))
+    stepped = running_sum_of_day(events.withColumn("_q", F.coalesce("qty", F.lit(0.0))), pair, ["ts", "id"], "_q", "net_to_date").drop("_q")
+    return stepped.unionByName(lines, allowMissingColumns=True)
+
+
+def _wanted(keys: DataFrame) -> DataFrame:
+    return keys.select("po", "ims_sku", *(["system"] if "system" in keys.columns else [])).distinct()
+
+
+def _moved(inputs: Inputs, wanted: DataFrame, day: date, window_days: int) -> DataFrame:
+    """Ledger rows of the wanted pairs, of the wanted system where it is known."""
     moved = (
         ledger_window(inputs.ledger, day - timedelta(days=window_days), day)
-        .filter(c("ref_order_type") == "Purchase Order").withColumnRenamed("ref_order_id", "po").join(wanted, pair)
+        .filter(c("ref_order_type") == "Purchase Order").withColumnRenamed("ref_order_id", "po").join(wanted, ["po", "ims_sku"])
     )
     if "system" in wanted.columns:
         moved = moved.filter(c("system").isNull() | c("system").isin("", MISSING) | (c("system") == c("system_of_origin")))
-    events = moved.select(
-        *pair, F.lit("LEDGER").alias("source"), "id", c("consumable_quantity_change").alias("qty"), c("consumable_uom").alias("uom"),
-        "l1_action", "l2_action", c("facility_name").alias("facility"), c("datetime_utc").alias("ts"))
-    stepped = running_sum(events.withColumn("_q", F.coalesce("qty", F.lit(0.0))), pair, ["ts", "id"], "_q", "net_to_date").drop("_q")
-    return stepped.unionByName(lines, allowMissingColumns=True)
+    return moved
 
 
 def ordered_breakdown(df: DataFrame) -> DataFrame:

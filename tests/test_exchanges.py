@@ -30,3 +30,11 @@ def test_over_receipt_recheck_shuffles_the_two_tables_and_the_state_only(spark):
     state = lifecycle.fit(state_rows(spark, {"error_type": "PO_OVER_RECEIPT"}).drop("po", "ims_sku").selectExpr("*", "'P' AS po", "'S' AS ims_sku"))
     plan = exchanges(spark, lambda: rechecks.recheck_over_receipt(state, inputs(spark, LED, BOOK), Run(DAY), load_config(spark), F.lit(DAY)))
     assert plan <= 2  # ledger and orders; the state is a literal here
+
+
+def test_drill_down_runs_totals_where_the_join_put_the_rows(spark):
+    keys = spark.createDataFrame([("P", "S"), ("P", "U"), ("R", "S")], "po string, ims_sku string")
+    data = inputs(spark, LED, BOOK)
+    assert exchanges(spark, lambda: drilldown.breakdown_order(data, keys, DAY)) <= 4  # orders, ledger, and the keys for each
+    nets = [(r.po, r.ims_sku, r.net_to_date) for r in drilldown.breakdown_order(data, keys, DAY).orderBy("po", "ims_sku", "ts", "id").collect() if r.source == "LEDGER"]
+    assert nets == [("P", "S", -30.0), ("P", "S", 70.0), ("P", "S", 170.0), ("P", "U", 4.0), ("R", "S", 7.0), ("R", "S", 14.0)]
