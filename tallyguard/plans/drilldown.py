@@ -64,6 +64,22 @@ def duplicate_suspected(events: DataFrame) -> DataFrame:
     return counts.join(flags, ["po", "ims_sku"], "left").withColumn("duplicate_suspected", F.coalesce("duplicate_suspected", F.lit(False)))
 
 
+def order_duplicates(inputs: Inputs, keys: DataFrame, day: date, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """``duplicate_suspected`` of ``breakdown_order`` without the breakdown: no running net and no texts, and lines and movements are
+    counted per pair where the join with the keys has put them."""
+    pair, wanted = ["po", "ims_sku"], _wanted(keys)
+    lines = wanted.select(*pair).join(orders_of(inputs.orders, "Purchase"), pair, "left_semi")
+    if "system" in wanted.columns:
+        lines = lines.distinct()
+    moved = (
+        _moved(inputs, wanted, day, window_days)
+        .groupBy(*pair, "consumable_quantity_change", F.coalesce(c("l1_action") == "Add", F.lit(False)).alias("_add")).agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*pair).agg(F.sum("_n").alias("ledger_count"), F.coalesce(F.max(F.when(c("_add"), c("_n"))) >= 2, F.lit(False)).alias("duplicate_suspected"))
+    )
+    return lines.join(moved, pair, "full").select(
+        *pair, F.coalesce("ledger_count", F.lit(0)).alias("ledger_count"), F.coalesce("duplicate_suspected", F.lit(False)).alias("duplicate_suspected"))
+
+
 def breakdown_transfer(inputs: Inputs, keys: DataFrame, limit: int | None = None) -> DataFrame:
     """Outward, then inward movements of each transfer order in ``keys`` (the first ``limit`` per order, where asked for)."""
     out = c("l2_action") == "Transfer Out"

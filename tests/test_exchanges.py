@@ -38,3 +38,14 @@ def test_drill_down_runs_totals_where_the_join_put_the_rows(spark):
     assert exchanges(spark, lambda: drilldown.breakdown_order(data, keys, DAY)) <= 4  # orders, ledger, and the keys for each
     nets = [(r.po, r.ims_sku, r.net_to_date) for r in drilldown.breakdown_order(data, keys, DAY).orderBy("po", "ims_sku", "ts", "id").collect() if r.source == "LEDGER"]
     assert nets == [("P", "S", -30.0), ("P", "S", 70.0), ("P", "S", 170.0), ("P", "U", 4.0), ("R", "S", 7.0), ("R", "S", 14.0)]
+
+
+def test_duplicates_are_counted_without_the_breakdown(spark):
+    data = inputs(spark, LED, BOOK)
+    plain = spark.createDataFrame([("P", "S"), ("P", "U"), ("P", "V"), ("R", "S"), ("Z", "Z")], "po string, ims_sku string")
+    systems = spark.createDataFrame([("P", "S", "Fishbowl"), ("P", "S", None), ("P", "T", "Fishbowl"), ("R", "S", "")], "po string, ims_sku string, system string")
+    for keys in (plain, systems):
+        slow = drilldown.duplicate_suspected(drilldown.breakdown_order(data, keys, DAY))
+        fast = drilldown.order_duplicates(data, keys, DAY)
+        assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
+    assert exchanges(spark, lambda: drilldown.order_duplicates(data, plain, DAY)) <= 4  # orders, ledger, and the keys for each
