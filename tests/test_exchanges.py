@@ -7,6 +7,7 @@ from test_lifecycle import state_rows
 
 from tallyguard.plans import drilldown, lifecycle, rechecks
 from tallyguard.settings import Run
+from tallyguard.sources import derived, tables
 from tallyguard.sources.config_tables import load_config
 
 
@@ -49,3 +50,14 @@ def test_duplicates_are_counted_without_the_breakdown(spark):
         fast = drilldown.order_duplicates(data, keys, DAY)
         assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
     assert exchanges(spark, lambda: drilldown.order_duplicates(data, plain, DAY)) <= 4  # orders, ledger, and the keys for each
+
+
+def test_a_ledger_dated_behind_the_shuffle_is_written_as_a_plain_one(spark, tmp_path):
+    joined = derived._joined(spark, "/root/testdata/sf0.001")
+    bare = derived._bare_legs(joined)
+    assert {"datetime_utc", "event_date", "system_of_origin"}.isdisjoint(bare.columns) and {"amount", "tax"}.isdisjoint(joined.columns)
+    tables.write_ledger(bare, str(tmp_path / "dated"), "month", derived._line_movements, dated=derived._dated_legs)
+    tables.write_ledger(derived._line_movements(derived._legs(joined)), str(tmp_path / "plain"), "month")
+    dated, plain = (tables.read_ledger(spark, str(tmp_path / n)) for n in ("dated", "plain"))
+    assert dated.columns == plain.columns and plain.count() > 0
+    assert dated.exceptAll(plain).count() == plain.exceptAll(dated).count() == 0
