@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from helpers import DAY, inputs, receipt
 from test_lifecycle import state_rows
 
-from tallyguard.plans import drilldown, lifecycle, rechecks
-from tallyguard.settings import Run
+from tallyguard.plans import drilldown, findings, lifecycle, po_rules, rechecks
+from tallyguard.settings import Run, Settings
 from tallyguard.sources import derived, tables
 from tallyguard.sources.config_tables import load_config
 
@@ -61,3 +61,16 @@ def test_a_ledger_dated_behind_the_shuffle_is_written_as_a_plain_one(spark, tmp_
     dated, plain = (tables.read_ledger(spark, str(tmp_path / n)) for n in ("dated", "plain"))
     assert dated.columns == plain.columns and plain.count() > 0
     assert dated.exceptAll(plain).count() == plain.exceptAll(dated).count() == 0
+
+
+def test_both_aging_rules_add_the_orders_up_once(spark, monkeypatch):
+    late = "2026-05-01"
+    book = [{"po": "none", "expected_date": late, "received_qty": 0.0, "supplier_sku_qty": 4.0}, {"po": "part", "expected_date": late, "received_qty": 1.0, "supplier_sku_qty": 4.0},
+            {"po": "part", "expected_date": "2026-05-02", "received_qty": 0.0, "supplier_sku_qty": 4.0}, {"po": "new", "expected_date": "2026-07-05", "received_qty": 0.0, "supplier_sku_qty": 4.0},
+            {"po": "done", "expected_date": late, "received_qty": 4.0, "supplier_sku_qty": 4.0}]
+    data, run, config, ids = inputs(spark, order_rows=book), Run(DAY, True, Settings(no_receipt_lookback=0, partial_lookback=0)), load_config(spark), ["PO-07", "PO-08"]
+    alone = sorted((r.rule_id, r.entity_key, r.snapshot) for i in ids for r in findings.find(i, data, run, config).collect())
+    seen, real = [], po_rules.order_totals
+    monkeypatch.setattr(po_rules, "order_totals", lambda lines: seen.append(1) or real(lines))
+    together = sorted((r.rule_id, r.entity_key, r.snapshot) for r in findings.find_all(data, run, config, ids).collect())
+    assert together == alone and [t[:2] for t in together] == [("PO-07", "none"), ("PO-08", "part")] and len(seen) == 1
