@@ -6,6 +6,7 @@ from helpers import DAY, inputs, receipt
 from test_lifecycle import state_rows
 
 from tallyguard.plans import drilldown, findings, lifecycle, po_rules, rechecks
+from tallyguard.session import SIZED, discard, stored, with_conf
 from tallyguard.settings import Run, Settings
 from tallyguard.sources import derived, tables
 from tallyguard.sources.config_tables import load_config
@@ -74,3 +75,25 @@ def test_both_aging_rules_add_the_orders_up_once(spark, monkeypatch):
     monkeypatch.setattr(po_rules, "order_totals", lambda lines: seen.append(1) or real(lines))
     together = sorted((r.rule_id, r.entity_key, r.snapshot) for r in findings.find_all(data, run, config, ids).collect())
     assert together == alone and [t[:2] for t in together] == [("PO-07", "none"), ("PO-08", "part")] and len(seen) == 1
+
+
+def test_rules_are_planned_and_run_one_by_one(spark):
+    data, run, config = inputs(spark, LED, BOOK), Run(DAY, True, Settings()), load_config(spark)
+    found = findings.find_all(data, run, config)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan and found.count() > 0  # before, one plan held all rules and all their broadcasts
+    few = findings.find_all(data, run, config, columns=["rule_id", "entity_key"])
+    assert few.columns == ["rule_id", "entity_key"] and sorted(map(tuple, few.collect())) == sorted(map(tuple, found.select(*few.columns).collect()))
+    assert findings.find_all(data, run, config, []).count() == 0
+    discard(found)
+    assert few.count() > 0 and data.ledger.count() > 0
+
+
+def test_a_compressed_table_is_not_broadcast_for_its_small_files(spark):
+    keys = stored(spark.range(1_000_000).selectExpr("substring(md5(string(id)), 1, 10) AS po"))
+    rows = spark.range(100).selectExpr("substring(md5(string(id)), 1, 10) AS po", "id").join(keys, "po", "left_semi")
+    broadcasts = lambda: rows.select("*")._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+    assert broadcasts() == 1  # a million rows in files under 10 MB
+    with with_conf(spark, SIZED):
+        assert broadcasts() == 0
+    assert broadcasts() == 1
