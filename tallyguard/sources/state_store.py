@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard import schemas
-from tallyguard.session import stored
+from tallyguard.session import save, stored
 from tallyguard.settings import CLOSED_STATES
 from tallyguard.sources.tickets import DELIVERY
 
@@ -108,7 +108,7 @@ class StateStore:
 
     def append(self, name: str, df: DataFrame, version: int) -> None:
         """One run's share of a log. A repeated attempt replaces its own share only."""
-        schemas.conform(df, LOGS[name]).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/version={version}")
+        save(schemas.conform(df, LOGS[name]), f"{self.root}/{name}/version={version}", "overwrite")
 
     def live_events(self) -> DataFrame:
         """Events of findings still kept; those of purged findings go with them."""
@@ -190,10 +190,10 @@ class StateStore:
         live = live.join(later, "pk", "left").withColumn("later", F.coalesce("later", F.lit(False)))
         last = rows.agg(F.greatest(F.coalesce(F.max("pk"), F.lit(0)), F.lit(self.last_number())).cast("bigint").alias("last"))
         for name, part, ddl in (("archive", images, schemas.STATE), ("dropped", gone, DROPPED), ("live", live, LIVE), ("numbers", last, "last bigint")):
-            schemas.conform(part, ddl).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/version={version}")
+            save(schemas.conform(part, ddl), f"{self.root}/{name}/version={version}", "overwrite")
         base = f"{self.root}/base/version={version}"
         if version % self.compact_every == 0:
-            self.archived(version, self._newest("base", before)).write.mode("overwrite").option("compression", "zstd").parquet(base)
+            save(self.archived(version, self._newest("base", before)), base, "overwrite")
         elif self._exists(base):  # of a failed attempt with another setting
             target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -202,5 +202,5 @@ class StateStore:
     def write_findings(self, df: DataFrame, version: int) -> DataFrame:
         """All findings of one run, written once and read back by every later step."""
         path = f"{self.root}/findings/version={version}"
-        df.write.mode("overwrite").parquet(path)
+        save(df, path, "overwrite")
         return self.spark.read.schema(df.schema).parquet(path)

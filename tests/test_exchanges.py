@@ -1,15 +1,21 @@
 """How often the plans move rows: joins and totals by one key use the place the rows already have."""
 
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from helpers import DAY, inputs, receipt
 from test_lifecycle import state_rows
 
-from tallyguard.plans import drilldown, findings, lifecycle, po_rules, rechecks
-from tallyguard.session import SIZED, discard, stored, with_conf
+from tallyguard import schemas
+from tallyguard.operators.windows import latest
+from tallyguard.plans import drilldown, findings, job, lifecycle, po_rules, rechecks
+from tallyguard.session import SIZED, discard, shared_dir, stored, with_conf
 from tallyguard.settings import Run, Settings
 from tallyguard.sources import derived, tables
 from tallyguard.sources.config_tables import load_config
+from tallyguard.sources.state_store import StateStore
 
 
 def exchanges(spark, make):
@@ -97,3 +103,27 @@ def test_a_compressed_table_is_not_broadcast_for_its_small_files(spark):
     with with_conf(spark, SIZED):
         assert broadcasts() == 0
     assert broadcasts() == 1
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def tables_written(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    return {n for n in os.listdir(folder) if n.startswith("table-")} if os.path.isdir(folder) else set()
+
+
+def test_a_finished_write_and_staging_leave_nothing_behind(spark, monkeypatch):
+    before = shuffle_files(spark)
+    rows = stored(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)  # files go a moment after the query
+    assert not left and rows.count() == 10
+    written = tables_written(spark)
+    monkeypatch.setattr(derived, "_STAGED", {})
+    assert derived.staged(spark, "/root/testdata/sf0.001/").orders.count() > 0
+    assert tables_written(spark) == written  # the joined lines were needed for two tables only
