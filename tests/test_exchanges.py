@@ -127,3 +127,23 @@ def test_a_finished_write_and_staging_leave_nothing_behind(spark, monkeypatch):
     monkeypatch.setattr(derived, "_STAGED", {})
     assert derived.staged(spark, "/root/testdata/sf0.001/").orders.count() > 0
     assert tables_written(spark) == written  # the joined lines were needed for two tables only
+
+
+def test_findings_are_deduplicated_without_shuffling_them_whole(spark):
+    rows = [("A", f"k{i}", "High", f"s{i}") for i in range(20)] + [("A", "k3", "Urgent", "a"), ("B", "k3", "High", "b"), ("A", "k4", "High", "z"), ("A", "k4", "High", "y"), ("A", None, "High", "n")]
+    found = stored(spark.createDataFrame(rows, "rule_id string, entity_key string, severity string, snapshot string"))
+    seen = lifecycle.dedup_findings(found, ["A", "B"])
+    every = lifecycle.fingerprinted(found).withColumn("_seq", F.when(F.col("rule_id") == "B", 1).otherwise(0))
+    want = latest(every, ["fingerprint"], ["_seq", "severity", "snapshot"]).drop("_seq")
+    assert seen.columns == want.columns and sorted(map(str, seen.collect())) == sorted(map(str, want.collect()))
+    assert seen.filter("entity_key = 'k3' and rule_id = 'A'").first().severity == "Urgent"
+    assert "Exchange hashpartitioning(fingerprint" not in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conversion_rule_shuffles_order_lines_once(spark):
+    book = [{"po": f"P{i}", "consumable_sku": "4000001", "supplier_sku": sku, "po_date_utc": f"2026-07-0{i + 1} 00:00:00"} for i, sku in enumerate(["V1", "V1", "V2", "V3"])]
+    data = inputs(spark, order_rows=[*book, book[0]], catalog_rows=[{"hdr_product_sku": "4000001", "vendor_product_skus": ["V2"]}])
+    run = Run(DAY, True, Settings(conversion_lookback=60))
+    assert [tuple(r) for r in po_rules.po06(data, run).select("supplier_sku", "po_count", "sample_po", "missing_record").orderBy("supplier_sku").collect()] == [
+        ("V1", 2, "P0", False), ("V3", 1, "P3", False)]
+    assert exchanges(spark, lambda: po_rules.po06(data, run)) <= 4  # lines and links by pair, pairs and products by item
