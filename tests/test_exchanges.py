@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpers import DAY, inputs, receipt
 from test_lifecycle import state_rows
 
+from checks import spark_queries
 from tallyguard import schemas
 from tallyguard.operators.windows import latest
 from tallyguard.plans import drilldown, findings, job, lifecycle, po_rules, rechecks
@@ -147,3 +148,11 @@ def test_conversion_rule_shuffles_order_lines_once(spark):
     assert [tuple(r) for r in po_rules.po06(data, run).select("supplier_sku", "po_count", "sample_po", "missing_record").orderBy("supplier_sku").collect()] == [
         ("V1", 2, "P0", False), ("V3", 1, "P3", False)]
     assert exchanges(spark, lambda: po_rules.po06(data, run)) <= 4  # lines and links by pair, pairs and products by item
+
+
+def test_the_list_of_all_findings_goes_when_it_is_deduplicated(spark):
+    found = stored(spark.createDataFrame([("PO-09", k, "High", k) for k in "abca"], "rule_id string, entity_key string, severity string, snapshot string"))
+    folder = found.inputFiles()[0].rsplit("/", 1)[0].rsplit("/", 1)[1]
+    assert folder in tables_written(spark)
+    seen = spark_queries._deduplicated(found)
+    assert folder not in tables_written(spark) and sorted(r.entity_key for r in seen.collect()) == ["a", "b", "c"]
