@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyguard.plans import findings as book
 from tallyguard.plans import lifecycle as life
 from tallyguard.plans.rechecks import RETRO_TYPES, recheck_all
-from tallyguard.session import checkpoint
+from tallyguard.session import checkpoint, discard
 from tallyguard.settings import DEFAULT_RETENTION_DAYS, Run
 from tallyguard.sources.carried import BALANCE, LEGS, TRANSIT
 from tallyguard.sources.config_tables import Config
@@ -49,23 +49,31 @@ def _commit(store: StateStore, run: Run, found: DataFrame, scanned: Column, conf
     store.write_state(after, version, cutoff=life.cutoff(run.day, retention_days))
     store.append("outbox", ticket_actions(events), version)
     store.append("validation_run", metrics, version)
+    discard(mid)
+    discard(after)
     return RunResult(version, store.log("validation_run").filter(F.col("run_id") == version), store.outbox(version))
 
 
-def commit_step(store: StateStore, step: life.Step, day: date, kind: str, taken: DataFrame | None = None) -> RunResult:
+def commit_step(store: StateStore, step: life.Step, day: date, kind: str, taken: DataFrame | None = None, written: bool = False) -> RunResult:
     """Store the outcome of a step other than a validation run: state, events, audit, outbox, then its run-log entry.
 
-    ``step.state`` holds the live findings and the archived ones the step looked up (``taken``)."""
+    ``step.state`` holds the live findings and the archived ones the step looked up (``taken``, which is not needed
+    any more then). It is written before it is read several times, unless it consists of written tables (``written``)."""
     version = store.last_version() + 1
     store.append("ticket_event", step.events, version)
     store.append("audit_log", step.audit, version)
     store.append("outbox", ticket_actions(step.events), version)
-    store.write_state(checkpoint(step.state), version, taken)
+    state = step.state if written else checkpoint(step.state)
+    store.write_state(state, version, taken)
+    if not written:
+        discard(state)
     entry = store.spark.range(1).select(
         F.lit(version).cast("bigint").alias("run_id"), F.lit(day).alias("run_date"), F.lit(False).alias("backfill"),
         *[F.lit(0).cast("bigint").alias(n) for n in ("rows_scanned", "error_count", "new_count", "autoclosed_count")],
         life.as_of(day).alias("finished_at"), F.lit(kind).alias("status"))
     store.append("validation_run", entry, version)
+    if taken is not None:
+        discard(taken)
     return RunResult(version, store.log("validation_run").filter(F.col("run_id") == version), store.outbox(version))
 
 
@@ -96,7 +104,11 @@ def stamp_closed(store: StateStore, inputs: Inputs, run: Run, config: Config) ->
     """Store the resolutions that closed findings can be given after the fact."""
     nothing = store.log("ticket_event").limit(0), store.log("audit_log").limit(0)
     taken = checkpoint(life.unstamped(store.archived()))
-    return commit_step(store, life.Step(retro_stamp(store, inputs, run, config, taken), *nothing), run.day, "retro", taken)
+    stamped = checkpoint(stamped_closed(inputs, run, config, taken))
+    state = store.live().drop("later").unionByName(stamped)  # live findings are written already and no closer names one
+    result = commit_step(store, life.Step(state, *nothing), run.day, "retro", taken, written=True)
+    discard(stamped)
+    return result
 
 
 def carry(inputs: Inputs, run: Run) -> None:
@@ -113,14 +125,18 @@ def run_validation(spark: SparkSession, store: StateStore, inputs: Inputs, run:
     ids = book.enabled_rules(config) if rules is None else rules
     if inputs.carried:
         carry(inputs, run)
-    everything = store.write_findings(book.find_all(inputs, run, config, ids), store.last_version() + 1)
+    listed = book.find_all(inputs, run, config, ids)
+    everything = store.write_findings(listed, store.last_version() + 1)
+    discard(listed)
     found = checkpoint(life.dedup_findings(everything, ids))
     considered = everything.agg(F.count(F.lit(1))).scalar()
 
     def closers(state: DataFrame, _: DataFrame) -> DataFrame:
         return recheck_all(life.open_rows(state), inputs, run, config)
 
-    return _commit(store, run, found, considered, config, closers, retention_days)
+    result = _commit(store, run, found, considered, config, closers, retention_days)
+    discard(found)
+    return result
 
 
 def reported(store: StateStore, run: Run) -> DataFrame:
@@ -135,7 +151,9 @@ def run_on_partition(spark: SparkSession, store: StateStore, findings: DataFrame
                      rules: list[str], retention_days: int = 0) -> RunResult:
     """A run over a partition that is re-evaluated completely: absence from the run means fixed."""
     found = checkpoint(life.dedup_findings(findings, rules))
-    return _commit(store, run, found, scanned, config, lambda state, seen: life.absent_closers(state, seen, run), retention_days)
+    result = _commit(store, run, found, scanned, config, lambda state, seen: life.absent_closers(state, seen, run), retention_days)
+    discard(found)
+    return result
 
 
 def replay(days: list[date], step: Callable[[date, bool], RunResult], backfill_first: bool = False) -> list[RunResult]:
@@ -143,8 +161,13 @@ def replay(days: list[date], step: Callable[[date, bool], RunResult], backfill_f
     return [step(day, backfill_first and i == 0) for i, day in enumerate(days)]
 
 
+def stamped_closed(inputs: Inputs, run: Run, config: Config, bare: DataFrame) -> DataFrame:
+    """Closed findings that lack a resolution: those that pass now have one, dated by their own close."""
+    bare = bare.drop("image")
+    return life.stamp_resolutions(bare, recheck_all(bare, inputs, run, config, when=life.closed_on(), types=RETRO_TYPES))
+
+
 def retro_stamp(store: StateStore, inputs: Inputs, run: Run, config: Config, bare: DataFrame | None = None) -> DataFrame:
-    """Live findings, and closed ones that lack a resolution: those that pass now have one, dated by their own close."""
-    bare = (life.unstamped(store.archived()) if bare is None else bare).drop("image")
-    state = store.live().drop("later").unionByName(bare)
-    return life.stamp_resolutions(state, recheck_all(bare, inputs, run, config, when=life.closed_on(), types=RETRO_TYPES))
+    """Live findings, and closed ones that lack a resolution: those that pass now have one. Live ones are not joined, no closer names one."""
+    bare = life.unstamped(store.archived()) if bare is None else bare
+    return store.live().drop("later").unionByName(stamped_closed(inputs, run, config, bare))

@@ -156,3 +156,17 @@ def test_the_list_of_all_findings_goes_when_it_is_deduplicated(spark):
     assert folder in tables_written(spark)
     seen = spark_queries._deduplicated(found)
     assert folder not in tables_written(spark) and sorted(r.entity_key for r in seen.collect()) == ["a", "b", "c"]
+
+
+def test_a_step_keeps_no_table_it_has_worked_on(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "state"))
+    closed = lifecycle.fit(state_rows(spark, {"pk": 1, "fingerprint": "a", "status": "Closed", "error_type": "PO_MISSING_PRICE"}, {"pk": 2, "fingerprint": "b"}))
+    empty = spark.createDataFrame([], "fingerprint string")
+    before = tables_written(spark)
+    job.commit_step(store, lifecycle.Step(closed, schemas.complete(empty, schemas.EVENT), schemas.complete(empty, schemas.AUDIT)), DAY, "import")
+    wide = [n for n in tables_written(spark) - before if "snapshot" in spark.read.parquet(f"{shared_dir(spark)}/{n}").columns]
+    job.stamp_closed(store, inputs(spark, LED, BOOK), Run(DAY), load_config(spark))
+    wide += [n for n in tables_written(spark) - before if "snapshot" in spark.read.parquet(f"{shared_dir(spark)}/{n}").columns]
+    assert wide == [] and sorted(r.pk for r in store.state().collect()) == [1, 2]
+    plan = job.retro_stamp(store, inputs(spark, LED, BOOK), Run(DAY), load_config(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # live findings lie beside the join, not under it
